@@ -101,7 +101,12 @@ def _roller(seed: int) -> Rolling:
 
 
 def segments(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """core, seg, p, lo, hi of each segment of one text: hashes of anchor and segment, the anchor's place, first and last window."""
+    """core, seg, p, lo, hi, last, times of each segment of one text.
+
+    Hashes of anchor and segment, the anchor's place, first and last window.
+    A run of equal segments, as periodic text has them, is one entry with its
+    number and its very last window.
+    """
     r, out, span = _roller(1), [], width - gram + 1
     last = len(data) - width
     for at in range(0, last + 1, BLOCK_BYTES):
@@ -120,7 +125,10 @@ def segments(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
         p = least[lo]
         seg = mix(r.hash(prefix, lo, hi + width) + (hi - lo).astype(_U))
         out.append((grams[p], seg, p + at, lo + at, hi + at))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    core, seg, p, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
+    first = np.flatnonzero(np.append(True, (core[1:] != core[:-1]) | (seg[1:] != seg[:-1])))
+    end = np.append(first[1:], len(core))
+    return core[first], seg[first], p[first], lo[first], hi[first], hi[end - 1], end - first
 
 
 def _anchored(width: int, gram: int):
@@ -136,9 +144,9 @@ def _anchored(width: int, gram: int):
                 # A third meeting adds nothing: two rows of a segment already show that it is repeated.
                 if len(data) < width or met[tk] > 2:
                     continue
-                core, seg, p, lo, hi = segments(data, width, gram)
+                core, seg, *places = segments(data, width, gram)
                 n = len(core)
-                made.append((core, seg, np.full(n, tk), np.full(n, len(data)), p, lo, hi))
+                made.append((core, seg, np.full(n, tk), np.full(n, len(data)), *places))
                 held += n
                 if held > 200_000:
                     yield _segment_rows(made)
@@ -149,14 +157,14 @@ def _anchored(width: int, gram: int):
     return run
 
 
-_SEGMENTS = "core bigint, seg bigint, tk bigint, bytes int, p int, lo int, hi int"
+_SEGMENTS = "core bigint, seg bigint, tk bigint, bytes int, p int, lo int, hi int, last int, times int"
 
 
 def _segment_rows(made: list) -> pa.RecordBatch:
     columns = [np.concatenate(x) for x in zip(*made, strict=True)]
     arrays = [pa.array(c.view(np.int64) if c.dtype == _U else c) for c in columns[:3]]
     arrays += [pa.array(c.astype(np.int32)) for c in columns[3:]]
-    return pa.record_batch(arrays, ["core", "seg", "tk", "bytes", "p", "lo", "hi"])
+    return pa.record_batch(arrays, ["core", "seg", "tk", "bytes", "p", "lo", "hi", "last", "times"])
 
 
 def _sorted_out(bucket: int):
@@ -170,11 +178,11 @@ def _sorted_out(bucket: int):
         carry: list[np.ndarray] | None = None
 
         def flush(rows: list[np.ndarray]) -> pa.RecordBatch:
-            core, seg = rows[0], rows[1]
+            core, seg, one = rows[0], rows[1], rows[6]
             new_core = np.append(True, core[1:] != core[:-1])
             new_seg = new_core | np.append(True, seg[1:] != seg[:-1])
             of_core, of_seg = np.cumsum(new_core) - 1, np.cumsum(new_seg) - 1
-            times = np.bincount(of_seg)[of_seg]
+            times = np.bincount(of_seg, weights=rows[8])[of_seg]
             different = np.bincount(of_core, weights=new_seg)[of_core]
             edges = np.bincount(of_core, weights=times == 1)[of_core]
             crowded = 2 * (different > bucket)
@@ -185,7 +193,12 @@ def _sorted_out(bucket: int):
             kind = np.concatenate([np.zeros(len(take[0]), int), 1 + crowded[take[1]], 2 + crowded[take[2]]])
             at = np.concatenate(take)
             arrays = [pa.array(kind.astype(np.int32))]
-            arrays += [pa.array(x[at]) for x in (rows[0], *rows[2:])]
+            # A repeated run goes whole; of a stand-in one segment is enough.
+            rows[6] = np.where(repeated, rows[7], rows[6])
+            arrays += [pa.array(x[at]) for x in (rows[0], *rows[2:6])]
+            end = rows[6][at]
+            end[len(take[0]) + len(take[1]) :] = one[take[2]]
+            arrays.append(pa.array(end))
             return pa.record_batch(arrays, ["kind", "core", "tk", "bytes", "p", "lo", "hi"])
 
         for batch in batches:
