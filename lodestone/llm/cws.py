@@ -19,9 +19,9 @@ from pyspark.sql.window import Window
 
 from lodestone.llm.common import let, saved, whole
 
-SAMPLES = 16
+SAMPLES = 32
 #: Rows of a bucket in which neighbours are found; buckets at most (their bounds are literals of the plan).
-BUCKET_ROWS, LEVEL = 4000, 64
+BUCKET_ROWS, LEVEL = 1000, 64
 EMPTY = "00000000"
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
