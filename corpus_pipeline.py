@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import packing, pii, quality, simhash, suffix
+from lodestone.llm import packing, pii, quality, rings, suffix
 from lodestone.llm.common import saved
 
 
@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates."""
-    return simhash.deduplicate(docs)
+    """Keeps one document of each class of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return rings.deduplicate(docs)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

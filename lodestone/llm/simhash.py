@@ -40,20 +40,27 @@ def _votes(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """Majority bits over XXH64 of the shingles of ASCII-lower-cased words, as an unsigned 64-bit int."""
+def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of ASCII-lower-cased words, in parts of bounded length; none for a text without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
     n = max(len(words) - shingle + 1, 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[shingle - 1 :].tolist() if len(words) >= shingle else [len(joined)]
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    digest = xxhash.xxh64_intdigest
     for i in range(0, n, _PART):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + _PART], stops[i : i + _PART], strict=True)], "<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + _PART], stops[i : i + _PART], strict=True)], "<u8")
+
+
+def fingerprint(text: str, shingle: int) -> int:
+    """Majority bits over the shingle hashes, as an unsigned 64-bit int."""
+    votes, n = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(text, shingle):
         votes += _votes(h)
+        n += len(h)
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -196,22 +203,6 @@ def simhash_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     return rows.join(named, "fp").select(id, "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, tau: int = 4) -> DataFrame:  # noqa: A002
-    """Of each class of near-duplicates the row with the least id; columns as they were.
-
-    Of repeated rows of that id one stays. Rows without an id stay if their
-    class has no other row, one for each text.
-    """
-    classes = simhash_classes(docs, id, text, shingle, tau)
-    keep = classes.filter(F.col(id) == F.col("component_id")).select(id).distinct()
-    with_id = docs.filter(F.col(id).isNotNull()).join(keep, id, "left_semi").dropDuplicates([id])
-    alone = docs.filter(F.col(id).isNull()).dropDuplicates([text])
-    orphans = classes.filter(F.col("component_id").isNull()).select("fp").distinct()
-    alone = alone.withColumn("__lo_fp", _fingerprints(shingle)(whole(text)))
-    alone = alone.join(orphans, F.col("__lo_fp") == F.col("fp"), "left_semi").drop("__lo_fp")
-    return with_id.select(docs.columns).unionByName(alone.select(docs.columns))
-
-
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Fingerprints and classes of documents: 4-word shingles, at most 4 bits apart."""
     out = simhash_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, tau=4)

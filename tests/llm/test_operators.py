@@ -1,6 +1,7 @@
 """The training-data operators against brute force, with nulls, empty and repeated rows, and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, chat, cws, maxent, packing, pieces, pii, quality, simhash, suffix
+from lodestone.llm import ann, chat, cws, maxent, packing, pieces, pii, quality, rings, simhash, suffix
 from lodestone.llm.common import prefix_sums
 from lodestone.llm.graph import components
 from tests.conftest import SF
@@ -211,12 +212,68 @@ def test_pigeonring_finds_every_link(spark):
     assert found == {frozenset((x, y)) for x, y in zip(base, near, strict=True) if 0 < (x ^ y).bit_count() <= 4}
 
 
+def near_duplicates(texts, shingle=5, share=0.8):
+    """{id: least id of its class} by comparing all texts."""
+    sets = {}
+    for i, t in texts.items():
+        ws = (t or "").encode().lower().split()
+        sets[i] = {tuple(ws[k : k + shingle]) for k in range(max(len(ws) - shingle + 1, 1))} if ws else set()
+    label = {i: i for i in texts}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(texts), 2):
+        x, y = sets[i], sets[j]
+        if x == y or len(x & y) >= share * len(x | y):
+            i, j = sorted((root(i), root(j)))
+            label[j] = i
+    return {i: root(i) for i in texts}
+
+
+def edited(text, n, r):
+    words = text.split()
+    for at in r.sample(range(len(words)), n):
+        words[at] = f"new{r.getrandbits(30)}"
+    return " ".join(words)
+
+
+def test_near_classes(spark):
+    """Texts at all similarities, with a hub of many near copies, against all pairs."""
+    r = random.Random(3)
+    base = [" ".join(f"w{r.getrandbits(14)}" for _ in range(120 + i)) for i in range(60)]
+    texts = base + [edited(t, 1 + i % 6, r) for i, t in enumerate(base)]
+    texts += [edited(base[0], 1, r) for _ in range(150)] + base[:9] + [base[3].upper(), None, "", " ", "one two", "One  two", "one"]
+    r.shuffle(texts)
+    got = {x["doc_id"]: x["component_id"] for x in rings.near_classes(docs_of(spark, texts)).collect()}
+    assert got == near_duplicates(dict(enumerate(texts)))
+
+
+def test_large_buckets_stay_linked(spark):
+    """A spanning forest of a bucket connects what all its pairs connect."""
+    r = np.random.default_rng(4)
+    tags = np.repeat(r.integers(0, 256, (6, rings.BOXES), np.uint8), 30, axis=0)
+    tags[np.arange(180), r.integers(2, rings.BOXES, 180)] ^= 1
+
+    def classes(edges):
+        label = list(range(len(tags)))
+        for _ in tags:
+            for x, y in edges:
+                label[x] = label[y] = min(label[x], label[y])
+        return label
+
+    forest = rings._span(tags, 0, rings.TAU)
+    assert len(forest) == 174 and classes(forest.tolist()) == classes(rings._pairs(tags, 0).tolist())
+
+
 def test_deduplicate(spark):
     texts = [prose(50, 1)] * 3 + [prose(50, 2), None, "", prose(50, 3)]
-    kept = simhash.deduplicate(docs_of(spark, texts, [5, 4, 5, 7, 8, 9, None]))
+    kept = rings.deduplicate(docs_of(spark, texts, [5, 4, 5, 7, 8, 9, None]))
     assert sorted(((r["doc_id"], r["lang"]) for r in kept.collect()), key=str) == sorted([(4, "en"), (7, "en"), (8, "en"), (None, "en")], key=str)
     assert kept.columns == SCHEMA.replace(" bigint", "").replace(" string", "").split(", ")
-    assert simhash.deduplicate(docs_of(spark, ["a"]).limit(0)).count() == 0
+    assert rings.deduplicate(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
 # -- 6 ---------------------------------------------------------------------------

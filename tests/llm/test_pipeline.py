@@ -4,10 +4,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import pii, simhash
+from lodestone.llm import pii
 from lodestone.llm.common import saved
 from tests.conftest import SF
-from tests.llm.test_operators import removed
+from tests.llm.test_operators import near_duplicates, removed
 
 
 def test_stages(spark):
@@ -20,8 +20,7 @@ def test_stages(spark):
     labels = dict(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality").collect())
     clean = [i for i in ids[0] if labels.get(i) == 1]
     assert np.mean([i in ids[1] for i in clean]) > 0.97 and ids[2] < ids[1]
-    classes = {r["doc_id"]: r["component_id"] for r in simhash.simhash_classes(kept[1]).collect()}
-    assert ids[2] == {c for c in classes.values()}
+    assert ids[2] == {*near_duplicates(dict(kept[1].select("doc_id", "text").collect())).values()}
     before = kept[2].select("doc_id", "text").orderBy("doc_id").collect()
     after = dict(kept[3].select("doc_id", "text").collect())
     for r, (text, _, _) in zip(before, removed([r["text"] for r in before], 200), strict=True):
