@@ -30,6 +30,17 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of a batch that Python gets: batches are held several times, in the JVM and in each worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, for texts of any length; a bound that the session sets stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(key, ""):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: cuts the lineage.
 

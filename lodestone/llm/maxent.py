@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import remainder, saved, whole
+from lodestone.llm.common import remainder, saved, small_batches, whole
 
 FOLDS, HELD_OUT = 7, 2
 #: Words whose counts are broadcast; vocabulary of the model, its classes and hashed rows.
@@ -292,6 +292,7 @@ def _scored(shared, current):
 
 def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:  # noqa: A002
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     fold = remainder(id, FOLDS).cast("int")
     rows = docs.select(F.col(id).cast("bigint").alias("id"), fold.alias("fold"), whole(text).alias("t"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import whole
+from lodestone.llm.common import small_batches, whole
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -283,6 +283,7 @@ def default_vocabulary() -> str:
 
 def encode_texts(docs: DataFrame, text: str = "text", vocabulary: str | None = None, name: str = "ids") -> DataFrame:
     """docs with an array of piece ids. The vocabulary is read once and broadcast."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary or default_vocabulary()))
 
     @F.arrow_udf("array<int>")
@@ -297,6 +298,7 @@ def encode_texts(docs: DataFrame, text: str = "text", vocabulary: str | None = N
 
 def decode_ids(docs: DataFrame, ids: str = "ids", vocabulary: str | None = None, name: str = "decoded") -> DataFrame:
     """docs with the text of an array of piece ids; null ids give an empty text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary or default_vocabulary()))
 
     @F.arrow_udf("string")

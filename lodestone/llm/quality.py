@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import remainder, whole
+from lodestone.llm.common import remainder, small_batches, whole
 
 BITS = 18
 SAMPLE = 8192
@@ -31,7 +31,7 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-6, 1e-5
 THRESHOLD = 0.3
 FOLDS = 5
 #: Words whose hashes a task remembers, and words of a text handled at a time.
-_REMEMBERED, _PART = 400_000, 1 << 18
+_REMEMBERED, _PART = 150_000, 1 << 18
 
 _U = np.uint64
 _MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -116,7 +116,10 @@ class Ftrl:
 
 def fit(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights from (text, label) rows, in an order that depends on the rows alone."""
-    made = [(*features(t, bits), y) for t, y in rows]
+    made = []
+    for t, y in rows:
+        at, x = features(t, bits)
+        made.append((at.astype(np.int32), x.astype(np.float32), y))
     model = Ftrl(1 << bits)
     for epoch in range(epochs):
         for i in np.random.Generator(np.random.PCG64(epoch)).permutation(len(made)):
@@ -135,6 +138,7 @@ def _fit_task(bits: int, epochs: int):
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:  # noqa: A002
     """Weights learned from labelled texts outside the held-out fold (see FOLDS)."""
+    small_batches(docs.sparkSession)
     rows = labels.select(F.col(id).alias("__i"), F.col(label).cast("int").alias("__y"))
     rows = rows.filter(F.col("__y").isin(0, 1) & F.col("__i").isNotNull() & (remainder("__i", FOLDS) != 0))
     rows = rows.orderBy(F.xxhash64(F.col("__i").cast("string")), "__i", "__y").limit(sample)
@@ -145,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score") -> DataFrame:
     """docs with the probability of label 1. The model is broadcast: its size is fixed."""
+    small_batches(docs.sparkSession)
     bits = int(len(weights)).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 

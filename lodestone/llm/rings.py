@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved, whole
+from lodestone.llm.common import saved, small_batches, whole
 from lodestone.llm.graph import components
 from lodestone.llm.simhash import shingle_hashes
 
@@ -181,6 +181,7 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
     tables give empty results, repeated rows rows of their own; a class of rows
     without ids has a null component_id.
     """
+    small_batches(docs.sparkSession)
     body = docs.select(F.col(id).cast("bigint").alias("id"), whole(text).alias("text")).withColumn("node", F.xxhash64("text"))
     rows = saved(body.select("id", "node", _of_text(boxes, shingle)("text").alias("boxes")))
     nodes = saved(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("boxes").alias("boxes")))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved, whole
+from lodestone.llm.common import saved, small_batches, whole
 from lodestone.llm.graph import components
 
 SEED = 42
@@ -193,6 +193,7 @@ def simhash_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     their own. Shuffles: one row per text of 16 bytes, then the bucket keys of
     distinct fingerprints, then links between different fingerprints only.
     """
+    small_batches(docs.sparkSession)
     rows = saved(docs.select(F.col(id).cast("bigint").alias(id), _fingerprints(shingle)(whole(text)).alias("fp")))
     nodes = saved(rows.groupBy("fp").agg(F.min(id).alias("least")))
     labels = components(linked_fingerprints(nodes, tau)).withColumnRenamed("node", "fp")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved, whole
+from lodestone.llm.common import saved, small_batches, whole
 
 WIDTH = 200
 GRAM = 32
@@ -518,6 +518,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, gram
     Rows keep all their columns. Shuffles: a row of 44 bytes for each ~85 bytes
     of text, the texts once to fetch contexts and once to drop the spans.
     """
+    small_batches(docs.sparkSession)
     data = whole(text).cast("binary")
     key = [data.alias("__data"), F.xxhash64(whole(text)).alias("__tk"), F.octet_length(whole(text)).alias("__bytes")]
     spans = repeated_spans(docs.select(*key), width, gram, bucket)
@@ -544,6 +545,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, gram
 
 def without_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with the repeats dropped from the text; code points cut in two at an edge go as a whole."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def decode(kept: pa.Array) -> pa.Array:
