@@ -37,7 +37,7 @@ BATCH_BYTES = 4 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, for texts of any length; a bound that the session sets stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "0") == "0":
+    if spark.conf.get(key, "1") == "1":  # not set
         spark.conf.set(key, str(BATCH_BYTES))
 
 
