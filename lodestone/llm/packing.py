@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import saved, small_batches, whole
+from lodestone.llm.common import releasing, saved, small_batches, whole
 
 CAPACITY = 2048
 END_ID = 0
@@ -90,7 +90,7 @@ def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity:
     small_batches(docs.sparkSession)
     schema = "key bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * ids
     made = docs.select(F.col(id).cast("bigint"), whole(text))
-    return made.mapInArrow(_tokenized(tokenizer or default_tokenizer(), capacity, ids), schema)
+    return made.mapInArrow(releasing(_tokenized(tokenizer or default_tokenizer(), capacity, ids)), schema)
 
 
 class _Bins:

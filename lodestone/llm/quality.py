@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import remainder, small_batches, whole
+from lodestone.llm.common import release, releasing, remainder, small_batches, whole
 
 BITS = 18
 SAMPLE = 8192
@@ -31,7 +31,7 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-6, 1e-5
 THRESHOLD = 0.3
 FOLDS = 5
 #: Words whose hashes a task remembers, and words of a text handled at a time.
-_REMEMBERED, _PART = 150_000, 1 << 18
+_REMEMBERED, _PART = 50_000, 1 << 18
 
 _U = np.uint64
 _MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     rows = rows.filter(F.col("__y").isin(0, 1) & F.col("__i").isNotNull() & (remainder("__i", FOLDS) != 0))
     rows = rows.orderBy(F.xxhash64(F.col("__i").cast("string")), "__i", "__y").limit(sample)
     texts = docs.select(F.col(id).alias("__j"), whole(text).alias("__t")).join(F.broadcast(rows), F.col("__i") == F.col("__j"))
-    made = texts.select("__t", "__y").repartition(1).mapInArrow(_fit_task(bits, epochs), "weights binary").collect()
+    made = texts.select("__t", "__y").repartition(1).mapInArrow(releasing(_fit_task(bits, epochs)), "weights binary").collect()
     return np.frombuffer(made[0][0], np.float32) if made else np.zeros(1 << bits, np.float32)
 
 
@@ -159,6 +159,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str =
         for t in texts:
             at, x = features(t.as_py(), bits)
             out.append(float(1 / (1 + np.exp(-(w[at] @ x)))))
+        release()
         return pa.array(out, pa.float64())
 
     return docs.withColumn(name, f(whole(text)))

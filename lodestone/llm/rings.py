@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved, small_batches, whole
+from lodestone.llm.common import release, releasing, saved, small_batches, whole
 from lodestone.llm.graph import components
 from lodestone.llm.simhash import shingle_hashes
 
@@ -69,7 +69,9 @@ def jaccard(a: bytes, b: bytes) -> float:
 def _of_text(make, shingle: int):
     @F.arrow_udf("binary")
     def f(texts: pa.Array) -> pa.Array:
-        return pa.array([make(t.as_py(), shingle) for t in texts], pa.binary())
+        made = pa.array([make(t.as_py(), shingle) for t in texts], pa.binary())
+        release()
+        return made
 
     return f
 
@@ -160,9 +162,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """Links (a, b), a < b, among (node, boxes) that connect all nodes within TAU boxes."""
-    keyed = nodes.select("node", "boxes").mapInArrow(_keys, "key bigint, node bigint, start int, t0 bigint, t1 bigint, t2 bigint")
+    keyed = nodes.select("node", "boxes").mapInArrow(releasing(_keys), "key bigint, node bigint, start int, t0 bigint, t1 bigint, t2 bigint")
     spread = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
-    links = spread.mapInArrow(_linked, "a bigint, b bigint")
+    links = spread.mapInArrow(releasing(_linked), "a bigint, b bigint")
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved, small_batches, whole
+from lodestone.llm.common import releasing, saved, small_batches, whole
 from lodestone.llm.graph import components
 
 SEED = 42
@@ -182,8 +182,8 @@ def _linked(tau: int):
 
 def linked_fingerprints(fps: DataFrame, tau: int) -> DataFrame:
     """Links (a, b) among the distinct fingerprints fp that connect all pairs within tau bits."""
-    keyed = fps.select("fp").mapInArrow(_keys(tau), "key bigint, fp bigint, ring int")
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linked(tau), "a bigint, b bigint")
+    keyed = fps.select("fp").mapInArrow(releasing(_keys(tau)), "key bigint, fp bigint, ring int")
+    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(releasing(_linked(tau)), "a bigint, b bigint")
 
 
 def simhash_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, tau: int = 4) -> DataFrame:  # noqa: A002

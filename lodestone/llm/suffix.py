@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved, small_batches, whole
+from lodestone.llm.common import releasing, saved, small_batches, whole
 
 WIDTH = 200
 GRAM = 32
@@ -476,19 +476,19 @@ def _window_hashes(width: int):
 
 def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """(tk, bytes, a, b): byte spans to remove, of texts given as (__data binary, __tk, __bytes)."""
-    rows = texts.select("__data", "__tk").mapInArrow(_anchored(width, gram), _SEGMENTS)
+    rows = texts.select("__data", "__tk").mapInArrow(releasing(_anchored(width, gram)), _SEGMENTS)
     sorted_ = rows.repartition("core").sortWithinPartitions("core", "seg")
     kinds = "kind int, core bigint, tk bigint, bytes int, p int, lo int, hi int"
-    parts = saved(sorted_.mapInArrow(_sorted_out(bucket), kinds))
+    parts = saved(sorted_.mapInArrow(releasing(_sorted_out(bucket)), kinds))
     spans = parts.filter("kind = 0").select("tk", "bytes", F.col("lo").alias("a"), (F.col("hi") + width).alias("b")).distinct()
     edges = parts.filter("kind > 0").groupBy("tk", "bytes").agg(F.collect_list(F.struct("kind", "core", "p", "lo", "hi")).alias("places"))
     met = texts.join(edges, (F.col("__tk") == F.col("tk")) & (F.col("__bytes") == F.col("bytes")))
     schema = "kind int, core bigint, tk bigint, bytes int, lo int, q int, context binary"
-    contexts = saved(met.select("__data", "tk", "bytes", "places").mapInArrow(_contexts(width), schema))
+    contexts = saved(met.select("__data", "tk", "bytes", "places").mapInArrow(releasing(_contexts(width)), schema))
     sorted_ = contexts.filter("kind < 3").repartition("core").sortWithinPartitions("core")
-    sparse = sorted_.mapInArrow(_bucket_sort(width), _SPANS)
+    sparse = sorted_.mapInArrow(releasing(_bucket_sort(width)), _SPANS)
     hashed = "h1 bigint, h2 bigint, stand boolean, tk bigint, bytes int, a int"
-    windows = contexts.filter("kind > 2").mapInArrow(_window_hashes(width), hashed)
+    windows = contexts.filter("kind > 2").mapInArrow(releasing(_window_hashes(width)), hashed)
     twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowded = windows.filter("not stand").join(twice, ["h1", "h2"], "left_semi")
     crowded = crowded.select("tk", "bytes", "a", (F.col("a") + width).alias("b"))
