@@ -209,7 +209,8 @@ def _sorted_out(bucket: int):
                 continue
             last = now[0] == now[0][-1]
             carry = [x[last] for x in now]
-            yield flush([x[~last] for x in now]) if not last.all() else flush([x[:0] for x in now])
+            if not last.all():
+                yield flush([x[~last] for x in now])
         if carry is not None:
             yield flush(carry)
 

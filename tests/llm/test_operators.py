@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -276,6 +277,22 @@ def test_deduplicate(spark):
     assert rings.deduplicate(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_segments_in_batches_of_any_size(size):
+    """An anchor's segments may fill whole batches."""
+    r = np.random.default_rng(2)
+    core, seg = np.sort(r.integers(0, 4, 50)), np.sort(r.integers(0, 9, 50))
+    columns = [core, seg, np.arange(50), *(np.full(50, 9, np.int32) for _ in range(5)), np.ones(50, np.int32)]
+    names = ["core", "seg", "tk", "bytes", "p", "lo", "hi", "last", "times"]
+    whole = pa.record_batch([pa.array(c) for c in columns], names)
+    parts = [whole.slice(i, size) for i in range(0, 50, size)]
+
+    def rows(batches):
+        return sorted(tuple(x.values()) for b in suffix._sorted_out(100)(iter(batches)) for x in b.to_pylist())
+
+    assert rows(parts) == rows([whole]) and rows(parts)
+
+
 # -- 6 ---------------------------------------------------------------------------
 
 
