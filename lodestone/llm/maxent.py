@@ -9,9 +9,10 @@ for the classes and, with the class, for its words; a bias starts from counts.
 
 Counts of all training documents' words come from a distributed aggregation.
 Weights are trained by rounds of distributed gradient updates: each of a fixed
-number of shards runs AdaGrad from the current weights over positions of all
-its documents, every STRIDE-th and others in each round, and the changes are
-averaged over the shards that made them. Scoring works in numpy batches.
+number of shards runs AdaGrad from the current weights over its documents, and
+the changes are averaged over the shards that made them. A round takes one of
+every so many positions as there are rounds, another one each time, so that
+together they take every position once. Scoring works in numpy batches.
 
 Counts of words too rare for the broadcast dictionary of HEAD words are joined,
 not broadcast. Nulls are empty texts, whose only token is the end. Without
@@ -37,7 +38,7 @@ FOLDS, HELD_OUT = 7, 2
 HEAD = 100_000
 CLASSES, CLASS_SIZE = 32, 32
 CLASS_ROWS, WORD_ROWS = 1 << 12, 1 << 14
-ROUNDS, STRIDE, SHARDS, RATE = 2, 8, 64, 0.15
+ROUNDS, SHARDS, RATE = 2, 64, 0.15
 BATCH = 4096
 #: Distinct words a task counts before it hands them on.
 _HELD = 400_000
@@ -175,7 +176,7 @@ def update(model: Model, weights, squares, features: np.ndarray, targets: np.nda
 _PIECE = 1 << 9  # rows of weights sent as one record
 
 
-def _trained(shared, current, turn: int):
+def _trained(shared, current, turn: int, rounds: int = ROUNDS):
     """mapInArrow over training texts: the changes a shard makes to the weights, piece by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +192,10 @@ def _trained(shared, current, turn: int):
         for batch in batches:
             for text in batch.column(0):
                 at, context, _ = model.tokens(text.as_py())
-                start = (zlib.crc32(context[:64].tobytes()) + turn * (STRIDE // ROUNDS)) % STRIDE
+                start = (zlib.crc32(context[:64].tobytes()) + turn) % rounds
                 if start >= len(at):
-                    continue
-                pick = np.arange(start, len(at), STRIDE)
+                    continue  # a text shorter than the rounds has its positions in others
+                pick = np.arange(start, len(at), rounds)
                 features, targets = context_features(context), model.targets(at)
                 for a in range(0, len(pick), BATCH):
                     part = pick[a : a + BATCH]
@@ -244,7 +245,7 @@ def train(texts: DataFrame, model: Model, rounds: int = ROUNDS) -> tuple[np.ndar
     shards = texts.coalesce(SHARDS)
     for turn in range(rounds):
         current = sc.broadcast(weights)
-        changes = shards.mapInArrow(_trained(shared, current, turn), schema)
+        changes = shards.mapInArrow(_trained(shared, current, turn, rounds), schema)
         means = changes.repartition(8, "tbl", "at").sortWithinPartitions("tbl", "at").mapInArrow(_averaged, schema)
         weights = tuple(w.copy() for w in weights)
         for r in means.toLocalIterator():

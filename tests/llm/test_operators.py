@@ -329,6 +329,28 @@ def test_model_is_a_distribution():
     assert abs(p.sum() - 1) < 1e-3
 
 
+class Held:
+    """A broadcast of a value in this process."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_rounds_train_on_every_position(monkeypatch):
+    """All rounds together learn each position of each text once, also of the shortest."""
+    r = random.Random(6)
+    texts = ["", "one", "one two", *(" ".join(f"w{r.randrange(40)}" for _ in range(r.randrange(3, 60))) for _ in range(50))]
+    counts = Counter(w for t in texts for w in maxent.words(t)).most_common()
+    total = sum(n for _, n in counts)
+    model = maxent.Model([w for w, _ in counts], np.array([n for _, n in counts]), total, len(counts))
+    learnt = Counter()
+    monkeypatch.setattr(maxent, "update", lambda model, weights, squares, features, targets: learnt.update(targets.tolist()))
+    batch = pa.record_batch([pa.array(texts)], ["t"])
+    for turn in range(maxent.ROUNDS):
+        list(maxent._trained(Held(model), Held((np.zeros((4, 2)), np.zeros((4, 2)))), turn)(iter([batch])))
+    assert learnt == Counter({i: n for i, (_, n) in enumerate(counts)})
+
+
 # -- 7 ---------------------------------------------------------------------------
 
 
