@@ -11,9 +11,9 @@ pass are checked against the shingles themselves.
 
 Nulls count as empty texts; texts without words are alike. Equal texts are one
 node, named by XXH64. A bucket of up to SMALL rings sends all its links. A larger
-one sends spanning forests, the nearest links first; there a link can be lost if
-in each of its buckets all forests lead round it over links that the exact check
-refuses. A bucket is held by one task, at 40 bytes for each different ring in it.
+one sends spanning forests, the nearest links first, and, once these are checked,
+all its links not sent yet between texts that are still in different classes. A
+bucket is held by one task, at 48 bytes for each different ring in it.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ BUDGETS = np.arange(1, BOXES + 1) * TAU // BOXES
 SMALL, TIERS = 64, (2, 5, 8, TAU)
 #: Parts into which the links of one much linked text are dealt.
 _PARTS = 4096
+#: Links that a record batch of a large bucket holds, and those of one ring more.
+_PIECE = 1 << 16
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 1 << 64, BOXES, np.uint64)
 _ODD = _rng.integers(0, 1 << 64, BOXES, np.uint64) | np.uint64(1)
@@ -127,23 +129,8 @@ def _span(tags: np.ndarray, start: int, tau: int) -> np.ndarray:
     return np.array(edges, int).reshape(-1, 2)
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over rows sorted by bucket: the links of each bucket, all of them or spanning forests."""
-
-    def flush(key, node, start, *tags) -> pa.RecordBatch:
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.array([], int)
-        sizes = np.diff(np.append(first, len(key)))
-        tags = np.stack(tags, axis=1).view(np.uint8)
-        two = first[sizes == 2]
-        two = two[within(tags[two] != tags[two + 1], start[two])]
-        a, b = [node[two]], [node[two + 1]]
-        for s, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            own, at = tags[s : s + n], int(start[s])
-            for edges in [_pairs(own, at)] if n <= SMALL else [_span(own, at, tau) for tau in TIERS]:
-                a.append(node[edges[:, 0] + s])
-                b.append(node[edges[:, 1] + s])
-        return pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by bucket, their first, in runs of whole buckets."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         now = [c.to_numpy() for c in batch.columns]
@@ -155,17 +142,88 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = [np.concatenate(x) for x in zip(*held, strict=True)]
         last = now[0] == now[0][-1]
         held = [[x[last] for x in now]]
-        yield flush(*(x[~last] for x in now))
+        yield [x[~last] for x in now]
     if held:
-        yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each bucket begins, and its rows."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.array([], int)
+    return first, np.diff(np.append(first, len(key)))
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over rows sorted by bucket: the links (a, b, -1) of each bucket, all of them or spanning forests.
+
+    Each ring of a bucket that sends forests gives a row (key, node, start) too.
+    """
+    for key, node, start, *tags in _buckets(batches):
+        first, sizes = _sizes(key)
+        tags = np.stack(tags, axis=1).view(np.uint8)
+        two = first[sizes == 2]
+        two = two[within(tags[two] != tags[two + 1], start[two])]
+        a, b, kind = [node[two]], [node[two + 1]], [np.full(len(two), -1, np.int32)]
+        for s, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            own, at = tags[s : s + n], int(start[s])
+            for edges in [_pairs(own, at)] if n <= SMALL else [_span(own, at, tau) for tau in TIERS]:
+                a.append(node[edges[:, 0] + s])
+                b.append(node[edges[:, 1] + s])
+                kind.append(np.full(len(edges), -1, np.int32))
+            if n > SMALL:
+                a.append(key[s : s + n])
+                b.append(node[s : s + n])
+                kind.append(start[s : s + n])
+        yield pa.record_batch([pa.array(np.concatenate(x)) for x in (a, b, kind)], ["a", "b", "start"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (key, node, start, label, tags) sorted by bucket: all links between different labels."""
+    for key, node, start, label, *tags in _buckets(batches):
+        tags = np.stack(tags, axis=1).view(np.uint8)
+        for s, n in zip(*(x.tolist() for x in _sizes(key)), strict=True):
+            if (label[s : s + n] == label[s]).all():
+                continue
+            a, b, held = [], [], 0
+            for i in range(s, s + n):
+                other = np.flatnonzero(label[i + 1 : s + n] != label[i]) + i + 1
+                other = other[within(tags[other] != tags[i], start[other])]
+                a.append(np.full(len(other), node[i]))
+                b.append(node[other])
+                held += len(other)
+                if held >= _PIECE or i == s + n - 1:
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+                    a, b, held = [], [], 0
+
+
+_KEYED = "key bigint, node bigint, start int, t0 bigint, t1 bigint, t2 bigint"
+
+
+def _ordered(links: DataFrame) -> DataFrame:
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _sent(nodes: DataFrame) -> DataFrame:
+    """What _linked gives for (node, boxes)."""
+    keyed = nodes.select("node", "boxes").mapInArrow(releasing(_keys), _KEYED)
+    spread = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
+    return spread.mapInArrow(releasing(_linked), "a bigint, b bigint, start int")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """Links (a, b), a < b, among (node, boxes) that connect all nodes within TAU boxes."""
-    keyed = nodes.select("node", "boxes").mapInArrow(releasing(_keys), "key bigint, node bigint, start int, t0 bigint, t1 bigint, t2 bigint")
-    spread = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
-    links = spread.mapInArrow(releasing(_linked), "a bigint, b bigint")
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _ordered(_sent(nodes).filter("start < 0"))
+
+
+def _unsent(sent: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links of the buckets that sent forests, between nodes of different labels."""
+    members = sent.filter("start >= 0").select(F.col("a").alias("key"), F.col("b").alias("node"), "start")
+    rings = members.select("node").distinct().join(nodes, "node").select("node", "boxes")
+    tags = rings.mapInArrow(releasing(_keys), _KEYED).filter("start = 0").select("node", "t0", "t1", "t2")
+    both = members.join(tags, "node").join(labels, "node", "left")
+    rows = both.select("key", "node", "start", F.coalesce("label", "node").alias("label"), "t0", "t1", "t2")
+    spread = rows.repartition("key").sortWithinPartitions("key")
+    return _ordered(spread.mapInArrow(releasing(_across), "a bigint, b bigint"))
 
 
 def _checked(edges: DataFrame, sets: DataFrame, share: float) -> DataFrame:
@@ -187,7 +245,8 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
     body = docs.select(F.col(id).cast("bigint").alias("id"), whole(text).alias("text")).withColumn("node", F.xxhash64("text"))
     rows = saved(body.select("id", "node", _of_text(boxes, shingle)("text").alias("boxes")))
     nodes = saved(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("boxes").alias("boxes")))
-    edges = saved(candidates(nodes.select("node", "boxes")))
+    sent = saved(_sent(nodes))
+    edges = saved(_ordered(sent.filter("start < 0")))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("least").alias("id"))
     same_id = (F.col("r.node") == F.col("e.node")) & F.col("r.id").eqNullSafe(F.col("e.id"))
     texts = body.alias("r").join(ends.alias("e"), same_id).select("r.node", "r.text")
@@ -197,8 +256,12 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
     named = edges.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
     named = named.join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     apart = named.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    links = first.unionAll(_checked(apart, sets, share))
-    labels = nodes.select("node", "least").join(saved(components(links)), "node", "left")
+    links = saved(first.unionAll(_checked(apart, sets, share)))
+    label = saved(components(links))
+    unsent = saved(_unsent(sent, nodes, label).join(edges, ["a", "b"], "left_anti"))
+    if not unsent.isEmpty():
+        label = saved(components(links.unionAll(_checked(unsent, sets, share))))
+    labels = nodes.select("node", "least").join(label, "node", "left")
     labels = saved(labels.select("node", "least", F.coalesce("label", "node").alias("class_node")))
     classes = labels.groupBy("class_node").agg(F.min("least").alias("component_id"))
     named = labels.join(classes, "class_node").select("node", "class_node", "component_id")

@@ -269,6 +269,28 @@ def test_large_buckets_stay_linked(spark):
     assert len(forest) == 174 and classes(forest.tolist()) == classes(rings._pairs(tags, 0).tolist())
 
 
+def test_large_buckets_lose_no_link(spark):
+    """160 texts of one template, each alike to one other only: most forest edges are refused."""
+    r = random.Random(9)
+    template, used, texts = [f"w{i}" for i in range(454)], [], []
+    while len(used) < 160:
+        slots = r.sample(range(4, 450, 5), 11)  # words whose shingles don't overlap: 3 changed in both texts, 4 in either
+        both = {*slots[:7]}, {*slots[:3], *slots[7:]}
+        if all(len(x & y) < 4 for x in both for y in used):
+            used += both
+            for own in (slots[3:7], slots[7:]):
+                ws = list(template)
+                for at in slots[:3]:
+                    ws[at] = f"c{len(used)}"
+                for at in own:
+                    ws[at] = f"o{r.getrandbits(40)}"
+                texts.append(" ".join(ws))
+    r.shuffle(texts)
+    got = {x["doc_id"]: x["component_id"] for x in rings.near_classes(docs_of(spark, texts)).collect()}
+    expected = near_duplicates(dict(enumerate(texts)))
+    assert len(set(expected.values())) == 80 and got == expected
+
+
 def test_deduplicate(spark):
     texts = [prose(50, 1)] * 3 + [prose(50, 2), None, "", prose(50, 3)]
     kept = rings.deduplicate(docs_of(spark, texts, [5, 4, 5, 7, 8, 9, None]))
