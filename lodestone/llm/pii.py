@@ -134,9 +134,26 @@ def _masked(text: Column, kind: Kind) -> Column:
     return _pieces(text, kind, made, text)
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by <KIND>; of spans that overlap the first gives the kind, and all are replaced."""
+    order = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("tag"))
+    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at"))
+    between = lambda at, end: F.substr(text, (at + 1).cast("int"), (end - at).cast("int"))
+
+    def step(acc: Column, s: Column) -> Column:
+        more = F.when(s["start"] >= acc["at"], F.array(between(acc["at"], s["start"]), s["tag"])).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.concat(acc["out"], more).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    def done(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"), F.char_length(text)))
+
+    return F.aggregate(F.array_sort(F.transform(spans, order)), begin, step, done)
+
+
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with confirmed matches replaced by <KIND>, kind after kind; other texts, also nulls, stay as they are."""
-    out = docs
+    """docs with the spans of find_pii replaced by <KIND>, then what still matches, kind after kind; other texts, also nulls, stay as they are."""
+    found = find_pii(docs, text, "__pii")
+    out = found.withColumn(text, F.when(F.size("__pii") == 0, F.col(text)).otherwise(_without(whole(text), F.col("__pii")))).drop("__pii")
     for kind in KINDS:
         if kind.base or kind.prior >= ADDED_SCORE:
             out = out.withColumn(text, _masked(F.col(text), kind))

@@ -117,6 +117,20 @@ def test_pii(spark):
     assert not any(base_spans(t) for t in masked.values())
 
 
+def test_masks_what_is_found(spark):
+    """The pipeline's stage masks each span of find_pii, by its score with context, also where spans overlap."""
+    import corpus_pipeline
+
+    texts = ["é social security 123-45-6789 .", "call 123-45-6789", "mail security@x.org 123-45-6789", "account GB82 WEST 1234 5698 7654 32 then 4111 1111 1111 1111", "+123.45.67.8 55 123 é", None]
+    docs = docs_of(spark, texts)
+    masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.pii_stage(spark, docs, SF).collect()}
+    assert [masked[i] for i in range(3)] == ["é social security <SSN> .", "call 123-45-6789", "mail <EMAIL> <SSN>"] and masked[5] is None
+    for r in pii.find_pii(docs).collect():
+        for s in r["pii"]:
+            assert r["text"][s["start"] : s["end"]] not in masked[r["doc_id"]]
+    assert masked[3] == "account <IBAN> then <CARD>" and masked[4] == "<PHONE> é"
+
+
 # -- 3 ---------------------------------------------------------------------------
 
 
