@@ -3,7 +3,7 @@
 64 majority bits place texts of similarity 0.8 five to fifteen bits apart, where
 no segment is likely to agree. So the ring here has 24 boxes, each the least of
 the shingles' hashes under its own mixing: a box differs with probability one
-minus the similarity, and at 0.8 more than TAU differ for one pair in two
+minus the similarity, and at 0.8 more than TAU differ for one pair in a
 thousand. Of two texts within TAU boxes some start has all its runs of l boxes
 within l * TAU / 24 differing ones; its first two boxes agree, which is the
 bucket. Longer runs and the whole ring are tested inside the bucket; links that
