@@ -163,27 +163,54 @@ def test_fingerprints(spark):
     texts = [t for t in texts for t in (t, t[: len(t) * (1 + len(t) % 3) // 4] + prose(40, len(t)))]
     texts += ["", None, "   "]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(texts, texts[1:] + texts[:1], strict=True))], "doc_id bigint, a string, b string")
-    made = cws.sketch(df, {"fa": "a", "fb": "b"}, "doc_id", samples=64)
+    made = cws.sketch(df, {"fa": "a", "fb": "b"}, samples=64)
     got = {r["doc_id"]: r for r in made.withColumn("s", cws.likeness(F.col("fa"), F.col("fb"), 64)).collect()}
     errors = [got[i]["s"] - generalised_jaccard(a or "", b or "") for i, (a, b) in enumerate(zip(texts, texts[1:] + texts[:1], strict=True))]
     assert abs(np.mean(errors)) < 0.04 and np.abs(errors).max() < 0.3
     assert all(got[i]["fb"] == got[(i + 1) % len(texts)]["fa"] for i in got)
 
 
-def test_next_document(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(cws, "BUCKET_ROWS", 3)
-    texts = [prose(random.Random(i).randrange(0, 30), i) for i in range(60)] + [None, ""]
-    ids = [random.Random(7).sample(range(10**6), len(texts))][0]
+def test_fingerprint_query(spark, tmp_path):
+    """All columns of the query, with ids that repeat or are missing, repeated rows, empty texts and a long one."""
+    r = random.Random(8)
+    texts = [prose(r.randrange(0, 30), i) for i in range(60)] + [None, "", prose(20_000, 1)] + [prose(9, i) for i in range(90)] + ["same"] * 5
+    ids = r.sample(range(-(10**6), 10**6), 63) + [77] * 60 + [None] * 30 + [5] * 5
     docs_of(spark, texts, ids).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r for r in cws.op4_document_fingerprints(spark, str(tmp_path)).collect()}
-    order = sorted(zip(ids, texts, strict=True))
-    for (i, t), (j, u) in zip(order, order[1:] + order[:1], strict=True):
-        t, u = t or "", u or ""
+    got = cws.op4_document_fingerprints(spark, str(tmp_path)).collect()
+    tie = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((i is not None, i or 0, tie[t or ""], t or "") for i, t in zip(ids, texts, strict=True)))
+    prints = {(x["doc_id"], x["n_chars"], x["edited_sha256"]): x for x in got}
+    by_text, expected = {}, []
+    for (has, i, _, t), (_, _, _, u) in zip(order, order[1:] + order[:1], strict=True):
         k = len(t) // 4
-        edited = t[: len(t) - k] + u[:k]
-        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(t)
-        same = sum(got[i]["fingerprint"][8 * n : 8 * n + 8] == got[j]["fingerprint"][8 * n : 8 * n + 8] for n in range(cws.SAMPLES))
-        assert got[i]["near_next"] == same / cws.SAMPLES
+        digest = hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest()
+        expected.append((i if has else None, len(t), digest))
+        x = prints[expected[-1]]
+        assert by_text.setdefault(t, x["fingerprint"]) == x["fingerprint"]
+    assert Counter(expected) == Counter((x["doc_id"], x["n_chars"], x["edited_sha256"]) for x in got)
+
+    def alike(a, b):
+        return sum(a[8 * n : 8 * n + 8] == b[8 * n : 8 * n + 8] for n in range(cws.SAMPLES)) / cws.SAMPLES
+
+    near = Counter()
+    for (has, i, _, t), (_, _, _, u) in zip(order, order[1:] + order[:1], strict=True):
+        near[(i if has else None, by_text[t], alike(by_text[t], by_text[u]))] += 1
+    assert near == Counter((x["doc_id"], x["fingerprint"], x["near_next"]) for x in got)
+    assert all(x["near_edited"] == alike(x["fingerprint"], x["edited_fingerprint"]) for x in got)
+    assert len({f for t, f in by_text.items() if t}) > 100 and by_text[""] == cws.EMPTY * cws.SAMPLES
+    assert cws.fingerprints(docs_of(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_equal_texts_get_equal_prints(spark):
+    """A text's print doesn't depend on the text beside it: terms that both have equally often are sampled once."""
+    texts = [prose(60, i) for i in range(20)]
+    df = spark.createDataFrame([(i, a, b) for i, a in enumerate(texts) for b in (a, texts[0], a + " an", "")], "i bigint, a string, b string")
+    made = cws.sketch(df.withColumn("k", F.monotonically_increasing_id()), {"fa": "a", "fb": "b"}, samples=8)
+    prints = {}
+    for x in made.collect():
+        assert prints.setdefault(x["i"], x["fa"]) == x["fa"]
+    alone = cws.sketch(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], "i bigint, a string, b string"), {"fa": "b", "fb": "a"}, samples=8)
+    assert {x["i"]: x["fb"] for x in alone.collect()} == prints
 
 
 # -- 5 ---------------------------------------------------------------------------
