@@ -1,26 +1,32 @@
 """A hashed maximum-entropy language model with class-factored softmax.
 
-P(token | context) = P(class | context) * P(token | class, context). Frequent
-training words are the model's vocabulary, dealt to classes; all others share
-one class, in which a word has its smoothed share of the corpus counts, so the
-model gives every token a probability. Context features are the word before,
-the pair before, and skips over one and two words, hashed to rows of weights
-for the classes and, with the class, for its words; a bias starts from counts.
+P(token | context) = P(class | context) * P(subclass | class, context) *
+P(word | subclass, context). The most frequent training words are the model's
+vocabulary, dealt to classes of classes; all others share one class, in which a
+word has its smoothed share of the corpus counts, so the model gives every token
+a probability. Context features are the word before, the pair before, and skips
+over one and two words, hashed to rows of weights for the classes and, with the
+class, for what it divides into; biases start from counts.
 
 Counts of all training documents' words come from a distributed aggregation.
-Weights are trained by rounds of distributed gradient updates: each of a fixed
-number of shards runs AdaGrad from the current weights over its documents, and
-the changes are averaged over the shards that made them. A round takes one of
-every so many positions as there are rounds, another one each time, so that
-together they take every position once. Scoring works in numpy batches.
+Weights are trained by rounds of distributed gradient updates. Documents are
+dealt to shards by a hash of id and text, as many as there are tokens for, and
+come in the order of that hash, so neither partitions nor a task that is run
+again change the model. A shard runs AdaGrad from the current weights over every
+position of its documents; a round averages the changes over the shards that
+made them. Each shard belongs to one round, so each position is learned once.
+Scoring works in numpy batches.
 
 Counts of words too rare for the broadcast dictionary of HEAD words are joined,
-not broadcast. Nulls are empty texts, whose only token is the end. Without
-training documents every token has the count 0, and the base model's share.
+not broadcast. Nulls are empty texts, whose only token is the end; long texts
+are worked on in parts. Repeated rows are scored alike and learned each. Without
+training documents every token has the count 0, and the base model's share; an
+empty table gives an empty result. Other columns are left out.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,27 +37,37 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import remainder, saved, small_batches, whole
+from lodestone.llm.common import releasing, remainder, saved, small_batches, whole
 
 FOLDS, HELD_OUT = 7, 2
-#: Words whose counts are broadcast; vocabulary of the model, its classes and hashed rows.
+#: Words whose counts are broadcast.
 HEAD = 100_000
-CLASSES, CLASS_SIZE = 32, 32
-CLASS_ROWS, WORD_ROWS = 1 << 12, 1 << 14
-ROUNDS, SHARDS, RATE = 2, 64, 0.15
-BATCH = 4096
-#: Distinct words a task counts before it hands them on.
-_HELD = 400_000
+#: Children of a class; the root's last child is the class of all words outside the vocabulary.
+BRANCH, LEVELS = 16, 3
+VOCABULARY = (BRANCH - 1) * BRANCH ** (LEVELS - 1)
+#: Hashed rows of weights of each level.
+ROWS = (1 << 14, 1 << 16, 1 << 16)
+ROUNDS, SHARD_TOKENS, RATE = 2, 2_000_000, 0.15
+BATCH = 8192
+#: Distinct words a task counts before it hands them on, and bytes of a text handled at a time.
+_HELD, _PART = 400_000, 1 << 20
 
 END = b"\n"  # not a word: words hold no white space
-TAIL = CLASSES * CLASS_SIZE
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
+_SPACE = re.compile(rb"[ \t-\r]")
 
+Weights = tuple[np.ndarray, ...]
 
-def words(text: str) -> list[bytes]:
-    """Words of the text with A-Z in lower case, then the end."""
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
+
+def word_parts(text: str) -> Iterator[list[bytes]]:
+    """Words of the text with A-Z in lower case, then the end, in lists of bounded length."""
+    data = text.encode("utf-8", "surrogatepass").lower()
+    at = 0
+    while len(data) - at > _PART and (cut := _SPACE.search(data, at + _PART)):
+        yield data[at : cut.start()].split()
+        at = cut.start()
+    yield [*data[at:].split(), END]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,229 +80,273 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0):
-            held.update(words(text.as_py()))
-            if len(held) > _HELD:
-                yield flush()
+            for words in word_parts(text.as_py()):
+                held.update(words)
+                if len(held) > _HELD:
+                    yield flush()
     if held:
         yield flush()
 
 
 class Model:
-    """The dictionary of frequent words and the weights."""
+    """The dictionary of frequent words, and what the weights start from."""
 
     def __init__(self, head: list[bytes], counts: np.ndarray, total: int, distinct: int):
         self.index = {w: i for i, w in enumerate(head)}
         self.counts, self.total, self.distinct = counts, total, distinct
-        size = min(len(head), TAIL)
         # Words in order of count, dealt so that a class has words of like count.
-        self.size = size
-        in_vocabulary = counts[:size].astype(float)
+        self.size = size = min(len(head), VOCABULARY)
+        words = np.zeros(VOCABULARY)
+        words[:size] = np.maximum(counts[:size], 1)
         self.tail_types = distinct - size
-        self.tail_tokens = total - int(in_vocabulary.sum())
-        classes = np.zeros(CLASSES + 1)
-        for k in range(CLASSES):
-            classes[k] = in_vocabulary[k * CLASS_SIZE : (k + 1) * CLASS_SIZE].sum()
-        classes[CLASSES] = self.tail_tokens + self.tail_types + 1
-        share = np.full((CLASSES, CLASS_SIZE), -30.0, np.float32)
-        flat = share.reshape(-1)
-        flat[:size] = np.log(np.maximum(in_vocabulary, 1))
-        self.bias_class = np.where(classes > 0, np.log(np.maximum(classes, 1)), -30.0).astype(np.float32)
-        self.bias_word = share
-        hashes = [zlib.crc32(w) for w in head]
-        # As a context a rare word counts by its ending.
-        hashes[size:] = [zlib.crc32(b"~" + w[-3:]) for w in head[size:]]
-        self.context = np.array(hashes, _U)
-
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Head index of each token (-1: none), its hash as a context, and the tokens."""
-        ws = words(text)
+        self.tail_tokens = total - int(counts[:size].sum())
+        self.biases = []
+        for level in range(LEVELS):
+            sums = words.reshape(-1, BRANCH ** (LEVELS - 1 - level)).sum(axis=1)
+            sums = np.append(sums, self.tail_tokens + self.tail_types + 1) if not level else sums
+            self.biases.append(np.where(sums > 0, np.log(np.maximum(sums, 1)), -30.0).astype(np.float32).reshape(-1, BRANCH))
+        self.context = np.array([zlib.crc32(w) for w in head], _U)
+
+    def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Head index of each token (-1: none), and its hash as a context."""
         get = self.index.get
-        at = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
+        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         context = self.context[at] if len(self.context) else np.zeros(len(at), _U)
         for i in np.flatnonzero(at < 0):
-            context[i] = zlib.crc32(b"~" + ws[i][-3:])
-        return at, context, ws
+            context[i] = zlib.crc32(words[i])
+        return at, context
+
+    def parts(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """Head indices, features and tokens of the text, part by part."""
+        before = np.array([1, 2, 3], _U)  # what stands before the text, nearest last
+        for words in word_parts(text):
+            at, context = self.tokens(words)
+            line = np.concatenate([before, context])
+            yield at, context_features(line), words
+            before = line[-3:]
 
     def targets(self, at: np.ndarray) -> np.ndarray:
-        return np.where((at >= 0) & (at < self.size), at, TAIL)
+        return np.where((at >= 0) & (at < self.size), at, VOCABULARY)
 
 
-def context_features(context: np.ndarray) -> np.ndarray:
-    """(tokens, 4) hashes: the word before, the pair before, skips over one and two words."""
-    n = len(context)
-    before = [np.concatenate([np.full(min(d, n), _U(d)), context[: max(n - d, 0)]]) for d in (1, 2, 3)]
-    hashed = [before[0] * _ODD[0], before[0] * _ODD[1] + before[1] * _ODD[2], before[1] * _ODD[3], before[2] * _ODD[4]]
-    return np.stack(hashed, axis=1)
+def context_features(line: np.ndarray) -> np.ndarray:
+    """(tokens, 4) hashes for the tokens after the first three: the word before, the pair before, skips over one and two words."""
+    one, two, three = line[2:-1], line[1:-2], line[:-3]
+    return np.stack([one * _ODD[0], one * _ODD[1] + two * _ODD[2], two * _ODD[3], three * _ODD[4]], axis=1)
 
 
-def _rows(features: np.ndarray, classes: np.ndarray | None, size: int) -> np.ndarray:
-    h = features if classes is None else (features + classes.astype(_U)[:, None] * _ODD[1])
-    return ((h ^ (h >> _U(29))) * _ODD[2] >> _U(64 - size.bit_length() + 1)).astype(np.int64)
+def _rows(features: np.ndarray, level: int, classes: np.ndarray) -> np.ndarray:
+    h = features + (classes.astype(_U) * _ODD[1] + _U(level))[:, None] if level else features
+    return ((h ^ (h >> _U(29))) * _ODD[2] >> _U(65 - ROWS[level].bit_length())).astype(np.uint16)
 
 
-def _log_softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = bias + weights[rows[:, 0]]
+def _softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials and their sums."""
+    z = weights[rows[:, 0]]
     for f in range(1, rows.shape[1]):
         z += weights[rows[:, f]]
+    z += bias
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def log_probabilities(model: Model, weights: tuple[np.ndarray, np.ndarray], features: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target; for those of the tail that of their class alone."""
-    out = np.empty(len(targets))
+    np.exp(z, out=z)
+    return z, z.sum(axis=1)
+
+
+def _walk(model: Model, features: np.ndarray, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(level, positions, biases, rows, children) down the classes; words outside the vocabulary end at the first."""
+    inside = np.flatnonzero(targets < VOCABULARY)
+    for level in range(LEVELS):
+        width = BRANCH ** (LEVELS - 1 - level)
+        at = inside if level else np.arange(len(targets))
+        if not len(at):
+            return
+        child = targets[at] // width
+        parent = child // BRANCH
+        yield level, at, model.biases[level][parent], _rows(features[at], level, parent), child % BRANCH
+
+
+def log_probabilities(model: Model, weights: Weights, features: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Natural log probability of each target; for those outside the vocabulary that of their class alone."""
+    out = np.zeros(len(targets))
     for a in range(0, len(targets), BATCH):
-        f, t = features[a : a + BATCH], targets[a : a + BATCH]
-        cls = t // CLASS_SIZE
-        p = _log_softmax(model.bias_class, weights[0], _rows(f, None, CLASS_ROWS))
-        score = p[np.arange(len(t)), cls].astype(float)
-        known = np.flatnonzero(t < TAIL)
-        if len(known):
-            c = cls[known]
-            q = _log_softmax(model.bias_word[c], weights[1], _rows(f[known], c, WORD_ROWS))
-            score[known] += q[np.arange(len(known)), t[known] % CLASS_SIZE]
-        out[a : a + BATCH] = score
+        part = out[a : a + BATCH]
+        for level, at, bias, rows, child in _walk(model, features[a : a + BATCH], targets[a : a + BATCH]):
+            z, sums = _softmax(bias, weights[level], rows)
+            part[at] += np.log(z[np.arange(len(at)), child] / sums)
     return out
 
 
-def _step(bias: np.ndarray, weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, targets: np.ndarray) -> None:
-    """One AdaGrad update from a batch: observed minus expected, summed per row."""
-    g = np.exp(_log_softmax(bias, weights, rows))
-    g[np.arange(len(targets)), targets] -= 1
-    for f in range(rows.shape[1]):
-        order = np.argsort(rows[:, f], kind="stable")
-        sorted_ = rows[order, f]
+def update(model: Model, weights: Weights, squares: Weights, features: np.ndarray, targets: np.ndarray) -> None:
+    """One AdaGrad update of all levels from a batch of positions: observed minus expected, summed per row."""
+    for level, at, bias, rows, child in _walk(model, features, targets):
+        g, sums = _softmax(bias, weights[level], rows)
+        g /= sums[:, None]
+        g[np.arange(len(at)), child] -= 1
+        flat = rows.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        sorted_ = flat[order]
         first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-        sums = np.add.reduceat(g[order], first, axis=0)
-        at = sorted_[first]
-        squares[at] += sums * sums
-        weights[at] -= RATE * sums / np.sqrt(squares[at] + 1e-3)
-
-
-def update(model: Model, weights, squares, features: np.ndarray, targets: np.ndarray) -> None:
-    """Gradient updates of both softmaxes from one batch of positions."""
-    cls = targets // CLASS_SIZE
-    _step(model.bias_class, weights[0], squares[0], _rows(features, None, CLASS_ROWS), cls)
-    known = np.flatnonzero(targets < TAIL)
-    if len(known):
-        c = cls[known]
-        _step(model.bias_word[c], weights[1], squares[1], _rows(features[known], c, WORD_ROWS), targets[known] % CLASS_SIZE)
+        total = np.add.reduceat(g[order % len(at)], first, axis=0)
+        to = sorted_[first]
+        squares[level][to] += total * total
+        weights[level][to] -= RATE * total / np.sqrt(squares[level][to] + 1e-3)
 
 
-_PIECE = 1 << 9  # rows of weights sent as one record
+_PIECE = 1 << 12  # rows of weights sent as one record
+_CHANGES = "level int, at int, shard int, change binary"
 
 
-def _trained(shared, current, turn: int, rounds: int = ROUNDS):
-    """mapInArrow over training texts: the changes a shard makes to the weights, piece by piece."""
+def _trained(shared, current):
+    """mapInArrow over training texts (shard, text) sorted by shard: the changes each shard makes to the weights, piece by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, base = shared.value, current.value
-        weights = [w.copy() for w in base]
-        squares = [np.zeros_like(w) for w in base]
+        now = weights = squares = None
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
 
-        def learn() -> None:
-            update(model, weights, squares, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        def learn(least: int) -> None:
+            """Updates by whole batches; what is left is kept, if it is less than least."""
+            nonlocal held, count
+            if count < max(least, 1):
+                return
+            features, targets = (np.concatenate(x) for x in zip(*held, strict=True))
+            a = 0
+            while count - a >= least and a < count:
+                update(model, weights, squares, features[a : a + BATCH], targets[a : a + BATCH])
+                a += BATCH
+            held, count = [(features[a:], targets[a:])], max(count - a, 0)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if now is None:
+                return
+            learn(1)
+            for level, (new, old) in enumerate(zip(weights, base, strict=True)):
+                for a in range(0, len(new), _PIECE):
+                    change = new[a : a + _PIECE] - old[a : a + _PIECE]
+                    if change.any():
+                        values = (level, a, now, change.tobytes())
+                        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                        yield pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["level", "at", "shard", "change"])
 
         for batch in batches:
-            for text in batch.column(0):
-                at, context, _ = model.tokens(text.as_py())
-                start = (zlib.crc32(context[:64].tobytes()) + turn) % rounds
-                if start >= len(at):
-                    continue  # a text shorter than the rounds has its positions in others
-                pick = np.arange(start, len(at), rounds)
-                features, targets = context_features(context), model.targets(at)
-                for a in range(0, len(pick), BATCH):
-                    part = pick[a : a + BATCH]
-                    held.append((features[part], targets[part]))
-                    count += len(part)
-                    if count >= BATCH:
-                        learn()
-                        held, count = [], 0
-        if held:
-            learn()
-        for table, (new, old) in enumerate(zip(weights, base, strict=True)):
-            for a in range(0, len(new), _PIECE):
-                change = new[a : a + _PIECE] - old[a : a + _PIECE]
-                if change.any():
-                    yield pa.record_batch([pa.array([table], pa.int32()), pa.array([a], pa.int32()), pa.array([change.astype(np.float32).tobytes()], pa.binary())], ["tbl", "at", "change"])
+            for shard, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if shard != now:
+                    yield from done()
+                    now, held, count = shard, [], 0
+                    weights, squares = [w.copy() for w in base], [np.zeros_like(w) for w in base]
+                for at, features, _ in model.parts(text.as_py()):
+                    held.append((features, model.targets(at)))
+                    count += len(at)
+                    learn(BATCH)
+        yield from done()
 
     return run
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over changes sorted by piece: their mean over the shards that changed a row."""
+    """mapInArrow over changes sorted by piece and shard: their mean over the shards that changed a row."""
     now, total, made = None, None, None
 
     def done() -> pa.RecordBatch:
-        mean = total / np.maximum(made, 1)[:, None]
-        return pa.record_batch([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], ["tbl", "at", "change"])
+        mean = (total / np.maximum(made, 1)[:, None]).astype(np.float32).tobytes()
+        return pa.record_batch([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([mean], pa.binary())], ["level", "at", "change"])
 
     for batch in batches:
-        for table, at, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x = np.frombuffer(change, np.float32).reshape(-1, CLASSES + 1 if table == 0 else CLASS_SIZE)
-            if (table, at) != now:
+        for level, at, change in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+            x = np.frombuffer(change, np.float32).reshape(-1, BRANCH).astype(float)
+            if (level, at) != now:
                 if now is not None:
                     yield done()
-                now, total, made = (table, at), np.zeros_like(x), np.zeros(len(x))
-            total = total + x
-            made = made + x.any(axis=1)
+                now, total, made = (level, at), np.zeros_like(x), np.zeros(len(x))
+            total += x
+            made += x.any(axis=1)
     if now is not None:
         yield done()
 
 
-def train(texts: DataFrame, model: Model, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from texts (one column). The driver holds the model alone, whose size is fixed."""
+def zeros() -> Weights:
+    return tuple(np.zeros((n, BRANCH), np.float32) for n in ROWS)
+
+
+def train(texts: DataFrame, model: Model, rounds: int = ROUNDS) -> Weights:
+    """Weights from (id, text). The driver holds the model alone, whose size is fixed."""
     sc = texts.sparkSession.sparkContext
+    weights = zeros()
+    if not model.total or not rounds:
+        return weights
     shared = sc.broadcast(model)
-    weights = (np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((WORD_ROWS, CLASS_SIZE), np.float32))
-    schema = "tbl int, at int, change binary"
-    shards = texts.coalesce(SHARDS)
+    shards = rounds * -(-model.total // (rounds * SHARD_TOKENS))
+    dealt = texts.withColumn("__h", F.xxhash64("id", "t")).withColumn("__s", F.pmod("__h", F.lit(shards)).cast("int"))
     for turn in range(rounds):
         current = sc.broadcast(weights)
-        changes = shards.mapInArrow(_trained(shared, current, turn, rounds), schema)
-        means = changes.repartition(8, "tbl", "at").sortWithinPartitions("tbl", "at").mapInArrow(_averaged, schema)
+        own = dealt.filter(F.col("__s") % rounds == turn).repartition(shards // rounds, "__s").sortWithinPartitions("__s", "__h", "id", "t")
+        changes = own.select("__s", "t").mapInArrow(releasing(_trained(shared, current)), _CHANGES)
+        means = changes.repartition(8, "level", "at").sortWithinPartitions("level", "at", "shard")
         weights = tuple(w.copy() for w in weights)
-        for r in means.toLocalIterator():
-            x = np.frombuffer(r["change"], np.float32).reshape(-1, weights[r["tbl"]].shape[1])
-            weights[r["tbl"]][r["at"] : r["at"] + len(x)] += x
+        for r in means.mapInArrow(_averaged, "level int, at int, change binary").toLocalIterator():
+            x = np.frombuffer(r["change"], np.float32).reshape(-1, BRANCH)
+            weights[r["level"]][r["at"] : r["at"] + len(x)] += x
     return weights
 
 
 def _scored(shared, current):
     """mapInArrow over (id, fold, text): sums over the head words, and the others with their numbers."""
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))]
+    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type]
     names = ["row", "id", "fold", "n_tokens", "n_known", "base", "score", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, weights = shared.value, current.value
-        base_of = np.log10((model.counts + 1) / (model.total + model.distinct + 1)) if len(model.counts) else np.zeros(0)
-        tail_of = np.log10((model.counts + 1) / (model.tail_tokens + model.tail_types + 1)) if len(model.counts) else np.zeros(0)
+        counts = model.counts.astype(float)
+        base_of = np.log10((counts + 1) / (model.total + model.distinct + 1))
+        tail_of = np.log10((counts + 1) / (model.tail_tokens + model.tail_types + 1))
         row = TaskContext.get().partitionId() << 33
+        done: list[list] = []
+        held: list[tuple] = []  # what isn't scored yet: (document, head indices, features)
+        count = 0
+
+        def score() -> None:
+            """Adds what the held parts give to their documents."""
+            nonlocal held, count
+            if not held:
+                return
+            targets = [model.targets(at) for _, at, _ in held]
+            logs = log_probabilities(model, weights, np.concatenate([f for _, _, f in held]), np.concatenate(targets)) / np.log(10)
+            first = 0
+            for doc, at, _ in held:
+                known = at[at >= 0]
+                doc[3] += len(at)
+                doc[4] += len(known)
+                doc[5] += float(base_of[known].sum())
+                doc[6] += float(logs[first : first + len(at)].sum() + tail_of[known[known >= model.size]].sum())
+                first += len(at)
+            held, count = [], 0
+
+        def flush() -> pa.RecordBatch:
+            score()
+            columns = [list(c) for c in zip(*done, strict=True)]
+            columns[7] = [[{"word": w, "times": n} for w, n in rare.items()] for rare in columns[7]]
+            done.clear()
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
         for batch in batches:
-            texts = batch.column(2)
-            for a in range(0, len(batch), 64):
-                docs = [model.tokens(t.as_py()) for t in texts[a : a + 64]]
-                features = np.concatenate([context_features(d[1]) for d in docs])
-                targets = np.concatenate([model.targets(d[0]) for d in docs])
-                logs = log_probabilities(model, weights, features, targets) / np.log(10)
-                out: list[list] = [[] for _ in names]
-                first = 0
-                for i, (at, _, ws) in enumerate(docs):
-                    own = logs[first : first + len(at)]
-                    first += len(at)
-                    known = at[at >= 0]
-                    tail = known[known >= model.size]
-                    rare = Counter(ws[j] for j in np.flatnonzero(at < 0))
-                    values = [
-                        row, batch.column(0)[a + i].as_py(), batch.column(1)[a + i].as_py(), len(at), len(known),
-                        float(base_of[known].sum()), float(own.sum() + tail_of[tail].sum()), [{"word": w, "times": n} for w, n in rare.items()],
-                    ]
-                    row += 1
-                    for column, v in zip(out, values, strict=True):
-                        column.append(v)
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+            size = 0
+            for key, fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                doc = [row, key, fold, 0, 0, 0.0, 0.0, Counter()]
+                done.append(doc)
+                row += 1
+                for at, features, words in model.parts(text.as_py()):
+                    doc[7].update(words[j] for j in np.flatnonzero(at < 0))
+                    held.append((doc, at, features))
+                    count += len(at)
+                    if count >= 8 * BATCH:
+                        score()
+                size += len(doc[7])
+                if size >= _HELD // 4:
+                    yield flush()
+                    size = 0
+            if done:
+                yield flush()
 
     return run
 
@@ -297,15 +357,15 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", head: i
     spark = docs.sparkSession
     fold = remainder(id, FOLDS).cast("int")
     rows = docs.select(F.col(id).cast("bigint").alias("id"), fold.alias("fold"), whole(text).alias("t"))
-    training = rows.filter(F.col("fold") != HELD_OUT).select("t")
-    counts = saved(training.mapInArrow(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    training = rows.filter(F.col("fold") != HELD_OUT).select("id", "t")
+    counts = saved(training.select("t").mapInArrow(releasing(_counted), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
     model = Model([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64), total, distinct)
-    weights = train(training, model, rounds if total else 0)
+    weights = train(training, model, rounds)
     sc = spark.sparkContext
     schema = "row bigint, id bigint, fold int, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word:binary,times:int>>"
-    parts = saved(rows.select("id", "fold", "t").mapInArrow(_scored(sc.broadcast(model), sc.broadcast(weights)), schema))
+    parts = saved(rows.select("id", "fold", "t").mapInArrow(releasing(_scored(sc.broadcast(model), sc.broadcast(weights))), schema))
     # Words beyond the dictionary: their counts by a join, their logs summed for each row.
     rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     joined = rare.join(counts, "word", "left")

@@ -382,16 +382,36 @@ def test_language_model(spark):
 
 
 def test_model_is_a_distribution():
-    """Classes and words within them sum to one in any context."""
-    counts = np.sort(np.random.Generator(np.random.PCG64(1)).integers(2, 999, 3000))[::-1]
-    model = maxent.Model([b"w%d" % i for i in range(3000)], counts, int(counts.sum()) + 500, 3500)
+    """Classes, and words within them, sum to one in any context."""
+    counts = np.sort(np.random.Generator(np.random.PCG64(1)).integers(2, 999, 5000))[::-1]
+    model = maxent.Model([b"w%d" % i for i in range(5000)], counts, int(counts.sum()) + 500, 5500)
     r = np.random.Generator(np.random.PCG64(2))
-    weights = (r.normal(0, 0.5, (maxent.CLASS_ROWS, maxent.CLASSES + 1)).astype(np.float32), r.normal(0, 0.5, (maxent.WORD_ROWS, maxent.CLASS_SIZE)).astype(np.float32))
-    features = np.repeat(maxent.context_features(model.context[:5])[4:], maxent.TAIL + 1, axis=0)
-    p = np.exp(maxent.log_probabilities(model, weights, features, np.arange(maxent.TAIL + 1)))
+    weights = tuple(r.normal(0, 0.5, w.shape).astype(np.float32) for w in maxent.zeros())
+    features = np.repeat(maxent.context_features(model.context[:4]), maxent.VOCABULARY + 1, axis=0)
+    p = np.exp(maxent.log_probabilities(model, weights, features, np.arange(maxent.VOCABULARY + 1)))
     assert abs(p.sum() - 1) < 1e-3
 
 
+def test_update_lowers_the_loss():
+    """A step moves against the gradient, which is taken by differences here."""
+    model = maxent.Model([b"w%d" % i for i in range(50)], np.arange(150, 100, -1), 7000, 60)
+    r = np.random.Generator(np.random.PCG64(3))
+    features = r.integers(0, 1 << 63, (40, 4), np.uint64)
+    targets = r.integers(0, 50, 40)
+    weights, squares = maxent.zeros(), maxent.zeros()
+    before = maxent.log_probabilities(model, weights, features, targets).sum()
+    maxent.update(model, weights, squares, features, targets)
+    for level, at, _, rows, _ in maxent._walk(model, features, targets):
+        row, child, step = rows[0, 0], 5, 1e-2
+        moved = tuple(w.copy() for w in maxent.zeros())
+        moved[level][row, child] += step
+        slope = (maxent.log_probabilities(model, moved, features, targets).sum() - before) / step
+        if abs(slope) > 1e-2:
+            assert np.sign(weights[level][row, child]) == np.sign(slope)
+            assert abs(squares[level][row, child] - slope**2) < 0.05 * slope**2 + 1e-3
+    assert maxent.log_probabilities(model, weights, features, targets).sum() > before
+
+
 class Held:
     """A broadcast of a value in this process."""
 
@@ -399,19 +419,41 @@ class Held:
         self.value = value
 
 
-def test_rounds_train_on_every_position(monkeypatch):
-    """All rounds together learn each position of each text once, also of the shortest."""
+@pytest.mark.parametrize("part", [1 << 20, 20])
+def test_shards_train_on_every_position(monkeypatch, part):
+    """Each position of each text is learned once, also of the shortest and of long texts in parts."""
+    monkeypatch.setattr(maxent, "_PART", part)
+    monkeypatch.setattr(maxent, "BATCH", 64)
     r = random.Random(6)
-    texts = ["", "one", "one two", *(" ".join(f"w{r.randrange(40)}" for _ in range(r.randrange(3, 60))) for _ in range(50))]
-    counts = Counter(w for t in texts for w in maxent.words(t)).most_common()
-    total = sum(n for _, n in counts)
-    model = maxent.Model([w for w, _ in counts], np.array([n for _, n in counts]), total, len(counts))
-    learnt = Counter()
-    monkeypatch.setattr(maxent, "update", lambda model, weights, squares, features, targets: learnt.update(targets.tolist()))
-    batch = pa.record_batch([pa.array(texts)], ["t"])
-    for turn in range(maxent.ROUNDS):
-        list(maxent._trained(Held(model), Held((np.zeros((4, 2)), np.zeros((4, 2)))), turn)(iter([batch])))
+    texts = ["", "one", "one two", *(" ".join(f"w{r.randrange(40)}" for _ in range(r.randrange(3, 160))) for _ in range(50))]
+    counts = Counter(w for t in texts for ws in maxent.word_parts(t) for w in ws).most_common()
+    assert sum(n for _, n in counts) == sum(len(t.split()) + 1 for t in texts)
+    model = maxent.Model([w for w, _ in counts], np.array([n for _, n in counts]), sum(n for _, n in counts), len(counts))
+    learnt, seen = Counter(), []
+
+    def update(model, weights, squares, features, targets):
+        learnt.update(targets.tolist())
+        seen.append(features)
+
+    monkeypatch.setattr(maxent, "update", update)
+    shards = sorted(i % 3 for i in range(len(texts)))
+    batches = [pa.record_batch([pa.array(shards[i : i + 7], pa.int32()), pa.array(texts[i : i + 7])], ["s", "t"]) for i in range(0, len(texts), 7)]
+    list(maxent._trained(Held(model), Held(maxent.zeros()))(iter(batches)))
     assert learnt == Counter({i: n for i, (_, n) in enumerate(counts)})
+    # Features carry over from part to part.
+    whole = Counter()
+    for t in texts:
+        line = np.concatenate([np.array([1, 2, 3], np.uint64), [zlib.crc32(w) for w in [*t.encode().split(), maxent.END]]]).astype(np.uint64)
+        whole.update(map(tuple, maxent.context_features(line).tolist()))
+    assert whole == Counter(map(tuple, np.concatenate(seen).tolist()))
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.unionByName(docs.limit(2))
+    one, five = (sorted(map(tuple, maxent.score_texts(docs.repartition(n), head=900).collect())) for n in (1, 5))
+    for x, y in zip(one, five, strict=True):
+        assert x[:5] == y[:5] and math.isclose(x[5], y[5], rel_tol=1e-9) and math.isclose(x[6], y[6], rel_tol=1e-6)
 
 
 # -- 7 ---------------------------------------------------------------------------
