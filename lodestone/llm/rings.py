@@ -36,8 +36,8 @@ BUDGETS = np.arange(1, BOXES + 1) * TAU // BOXES
 #: Buckets of so many rings send all their links, at most half as many for each ring;
 #: larger ones send a spanning forest of the links of up to each of these distances.
 SMALL, TIERS = 64, (2, 5, 8, TAU)
-#: Parts into which the links of one much linked text are dealt.
-_PARTS = 4096
+#: Links of one text that are checked against one copy of its shingle set.
+_PART = 256
 #: Links that a record batch of a large bucket holds, and those of one ring more.
 _PIECE = 1 << 16
 _rng = np.random.default_rng(5)
@@ -227,8 +227,12 @@ def _unsent(sent: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _checked(edges: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """The edges whose shingle sets have at least that similarity."""
-    dealt = edges.withColumn("part", F.pmod(F.hash("b"), F.lit(_PARTS)))
+    """The edges whose shingle sets have at least that similarity.
+
+    A text with many links is dealt out in parts, each with a copy of its set.
+    """
+    many = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _PART).alias("parts")).filter("parts > 1")
+    dealt = edges.join(many, "a", "left").withColumn("part", F.pmod(F.hash("b"), F.coalesce("parts", F.lit(1))).cast("int"))
     heads = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a")
     both = dealt.join(heads, ["a", "part"]).join(sets.select(F.col("node").alias("b"), F.col("set").alias("other")), "b")
     return both.filter(_alike(share)(F.col("set"), F.col("other"))).select("a", "b")

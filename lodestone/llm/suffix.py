@@ -6,30 +6,36 @@ else, in the same text or another. Three steps:
 1. Anchors. Each window of width bytes elects its least-hashed k-gram, so equal
    windows elect the same one. Consecutive windows with one anchor are a
    segment. Segments are dealt out by the anchor's hash: an anchor seen once
-   has no repeated window; a segment seen twice is repeated throughout.
+   has no repeated window; a segment seen twice is repeated throughout. Segments
+   are equal if the 128-bit BLAKE2 digests of their bytes are.
 2. Edges. What is left are segments whose anchor is repeated but which aren't
    so as a whole. Their texts, with one of each repeated segment of the anchor,
    go to the anchor's bucket. There the suffixes from the anchors are sorted by
    mergesort; two suffixes are compared by binary search for their common
    extension over prefix polynomial hashes. The extensions of neighbours give
    the classes of suffixes equal to any depth; with the hash of what stands to
-   the left, windows that occur twice. Both are then verified byte by byte.
+   the left, windows that occur twice. Both are then verified byte by byte, and
+   hashes that collide are replaced.
 3. Removal. The runs found go to their texts, which drop them.
 
-Nulls are empty texts; texts shorter than width lose nothing; equal texts are
-worked on once for each task that meets them. Memory is bounded by a block of
-windows, a block of contexts, and the longest text. A bucket of more than
-`bucket` different segments isn't sorted in one task: its windows are counted
-by 128-bit hashes in a distributed aggregation.
+Nulls are empty texts; texts shorter than width lose nothing; repeated rows lose
+all but what is shorter than width; equal texts are worked on twice at most in
+each task, and named by 128 bits of hash. An empty table gives an empty result.
+Memory is bounded by a block of windows, a block of contexts, and the longest
+text; of an anchor a task holds one row for each different segment, up to
+`bucket`. An anchor with more isn't sorted in one task: the digests of its
+windows are counted in a distributed aggregation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import releasing, saved, small_batches, whole
@@ -37,10 +43,10 @@ from lodestone.llm.common import releasing, saved, small_batches, whole
 WIDTH = 200
 GRAM = 32
 #: Bytes of text, and contexts, handled at a time.
-BLOCK_BYTES = 1 << 20
-BLOCK_CONTEXTS = 1 << 14
-#: Segments of one anchor that a task sorts; beyond, they are counted.
-BUCKET = 1 << 15
+BLOCK_BYTES = 1 << 18
+BLOCK_CONTEXTS = 1 << 12
+#: Different segments of one anchor that a task sorts; beyond, windows are counted.
+BUCKET = 1 << 13
 
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
@@ -71,16 +77,13 @@ class Rolling:
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
 
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        self.grow(len(data))
+    def prefix(self, data: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+        """Running hash of data; place, where given, is each byte's place in its own text."""
+        self.grow(len(data) if place is None else int(place.max(initial=0)) + 1)
         out = np.zeros(len(data) + 1, _U)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=out[1:])
+        np.cumsum(self.table[data] * (self.up[: len(data)] if place is None else self.up[place]), out=out[1:])
         return out
 
-    def hash(self, prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Of the bytes a to b; not yet mixed, so that equal bytes alone decide."""
-        return (prefix[b] - prefix[a]) * self.down[a]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
@@ -93,20 +96,28 @@ _rollers: dict[int, Rolling] = {}
 
 def _roller(seed: int) -> Rolling:
     if seed not in _rollers:
-        _rollers[seed] = Rolling(seed, BLOCK_BYTES + (1 << 16))
+        if len(_rollers) > 2:
+            _rollers.clear()
+        _rollers[seed] = Rolling(seed, 1 << 12)
     return _rollers[seed]
 
 
 # -- step 1: anchors and segments -------------------------------------------------
 
 
-def segments(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """core, seg, p, lo, hi, last, times of each segment of one text.
+def digests(parts: list[bytes]) -> np.ndarray:
+    """128 bits of BLAKE2 of each, as two columns of ints."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in parts]), np.int64).reshape(-1, 2)
+
+
+def segments(raw: bytes, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """core, s1, s2, p, lo, hi, last, times of each segment of one text.
 
-    Hashes of anchor and segment, the anchor's place, first and last window.
-    A run of equal segments, as periodic text has them, is one entry with its
-    number and its very last window.
+    Hash of the anchor, digest of the segment, the anchor's place, first and last
+    window. A run of equal segments, as periodic text has them, is one entry with
+    its number and its very last window.
     """
+    data = np.frombuffer(raw, np.uint8)
     r, out, span = _roller(1), [], width - gram + 1
     last = len(data) - width
     for at in range(0, last + 1, BLOCK_BYTES):
@@ -123,32 +134,36 @@ def segments(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
         lo = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
         hi = np.append(lo[1:] - 1, windows - 1)
         p = least[lo]
-        seg = mix(r.hash(prefix, lo, hi + width) + (hi - lo).astype(_U))
-        out.append((grams[p], seg, p + at, lo + at, hi + at))
-    core, seg, p, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
-    first = np.flatnonzero(np.append(True, (core[1:] != core[:-1]) | (seg[1:] != seg[:-1])))
+        out.append((grams[p], p + at, lo + at, hi + at))
+    core, p, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
+    cut = lambda i: raw[lo[i] : hi[i] + width]
+    same = np.append(False, (core[1:] == core[:-1]) & (np.diff(hi - lo) == 0))
+    for i in np.flatnonzero(same):
+        same[i] = cut(i - 1) == cut(i)
+    first = np.flatnonzero(~same)
     end = np.append(first[1:], len(core))
-    return core[first], seg[first], p[first], lo[first], hi[first], hi[end - 1], end - first
+    made = digests([cut(i) for i in first.tolist()])
+    return core[first], made[:, 0], made[:, 1], p[first], lo[first], hi[first], hi[end - 1], end - first
 
 
 def _anchored(width: int, gram: int):
-    """mapInArrow over (text, tk): a row for each segment of each text that this task hasn't met."""
+    """mapInArrow over (text, tk, th): a row for each segment of each text that this task hasn't met twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[int, int] = {}
+        met: dict[tuple[int, int], int] = {}
         for batch in batches:
             made, held = [], 0
-            for text, tk in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = np.frombuffer(text.as_py(), np.uint8)
-                met[tk] = met.get(tk, 0) + 1
+            for text, tk, th in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                raw = text.as_py()
+                met[tk, th] = met.get((tk, th), 0) + 1
                 # A third meeting adds nothing: two rows of a segment already show that it is repeated.
-                if len(data) < width or met[tk] > 2:
+                if len(raw) < width or met[tk, th] > 2:
                     continue
-                core, seg, *places = segments(data, width, gram)
+                core, s1, s2, *places = segments(raw, width, gram)
                 n = len(core)
-                made.append((core, seg, np.full(n, tk), np.full(n, len(data)), *places))
+                made.append((core, s1, s2, np.full(n, tk), np.full(n, th), *places))
                 held += n
-                if held > 200_000:
+                if held > 100_000:
                     yield _segment_rows(made)
                     made, held = [], 0
             if made:
@@ -157,62 +172,69 @@ def _anchored(width: int, gram: int):
     return run
 
 
-_SEGMENTS = "core bigint, seg bigint, tk bigint, bytes int, p int, lo int, hi int, last int, times int"
+_SEGMENTS = "core bigint, s1 bigint, s2 bigint, tk bigint, th bigint, p int, lo int, hi int, last int, times int"
 
 
 def _segment_rows(made: list) -> pa.RecordBatch:
     columns = [np.concatenate(x) for x in zip(*made, strict=True)]
-    arrays = [pa.array(c.view(np.int64) if c.dtype == _U else c) for c in columns[:3]]
-    arrays += [pa.array(c.astype(np.int32)) for c in columns[3:]]
-    return pa.record_batch(arrays, ["core", "seg", "tk", "bytes", "p", "lo", "hi", "last", "times"])
+    arrays = [pa.array(c.view(np.int64)) for c in columns[:5]] + [pa.array(c.astype(np.int32)) for c in columns[5:]]
+    return pa.record_batch(arrays, ["core", "s1", "s2", "tk", "th", "p", "lo", "hi", "last", "times"])
+
+
+_KINDS = "kind int, core bigint, tk bigint, th bigint, p int, lo int, hi int"
 
 
 def _sorted_out(bucket: int):
-    """mapInArrow over segments sorted by (core, seg).
+    """mapInArrow over segments sorted by anchor and digest.
 
     Gives the repeated segments (kind 0) and, for anchors that also have others,
     those (kind 1; 3 in a crowded bucket) with one of each repeated one (2; 4).
+    Of the anchor whose rows may go on it keeps a row for each different segment.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[np.ndarray] | None = None
+    def row_batch(*parts: tuple[int | np.ndarray, list[np.ndarray]]) -> pa.RecordBatch:
+        kind = np.concatenate([np.broadcast_to(np.asarray(k, np.int32), len(rows[0])) for k, rows in parts])
+        columns = [np.concatenate(x) for x in zip(*(rows for _, rows in parts), strict=True)]
+        return pa.record_batch([pa.array(kind), *map(pa.array, columns)], ["kind", "core", "tk", "th", "p", "lo", "hi"])
 
-        def flush(rows: list[np.ndarray]) -> pa.RecordBatch:
-            core, seg, one = rows[0], rows[1], rows[6]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowded = None, None
+        for batch in chain(batches, [None]):
+            if batch is None:
+                if held is None:
+                    return
+                rows = held
+            else:
+                if not len(batch):
+                    continue
+                rows = [c.to_numpy() for c in batch.columns] + [np.zeros(len(batch), bool)]
+                rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            core, s1, s2, tk, th, p, lo, hi, last, times, sent = rows
             new_core = np.append(True, core[1:] != core[:-1])
-            new_seg = new_core | np.append(True, seg[1:] != seg[:-1])
+            new_seg = new_core | np.append(True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]))
             of_core, of_seg = np.cumsum(new_core) - 1, np.cumsum(new_seg) - 1
-            times = np.bincount(of_seg, weights=rows[8])[of_seg]
+            total = np.bincount(of_seg, weights=times)[of_seg]
+            repeated = total > 1
+            closed = np.ones(len(core), bool) if batch is None else of_core != of_core[-1]
             different = np.bincount(of_core, weights=new_seg)[of_core]
-            edges = np.bincount(of_core, weights=times == 1)[of_core]
-            crowded = 2 * (different > bucket)
-            repeated = times > 1
-            edge = ~repeated & (different > 1)
-            stand = repeated & new_seg & (edges > 0)
-            take = [np.flatnonzero(x) for x in (repeated, edge, stand)]
-            kind = np.concatenate([np.zeros(len(take[0]), int), 1 + crowded[take[1]], 2 + crowded[take[2]]])
-            at = np.concatenate(take)
-            arrays = [pa.array(kind.astype(np.int32))]
+            edges = np.bincount(of_core, weights=~repeated)[of_core]
+            full = (different > bucket) | (core == crowded if crowded is not None else False)
+            pick = lambda at, end: [x[at] for x in (core, tk, th, p, lo)] + [end[at]]
+            whole_ = np.flatnonzero(repeated & ~sent)
+            edge = np.flatnonzero(closed & ~repeated & ((different > 1) | full))
+            stand = np.flatnonzero(closed & repeated & new_seg & ((edges > 0) | full))
             # A repeated run goes whole; of a stand-in one segment is enough.
-            rows[6] = np.where(repeated, rows[7], rows[6])
-            arrays += [pa.array(x[at]) for x in (rows[0], *rows[2:6])]
-            end = rows[6][at]
-            end[len(take[0]) + len(take[1]) :] = one[take[2]]
-            arrays.append(pa.array(end))
-            return pa.record_batch(arrays, ["kind", "core", "tk", "bytes", "p", "lo", "hi"])
-
-        for batch in batches:
-            now = [c.to_numpy() for c in batch.columns]
-            if carry is not None:
-                now = [np.concatenate([x, y]) for x, y in zip(carry, now, strict=True)]
-            if not len(now[0]):
-                continue
-            last = now[0] == now[0][-1]
-            carry = [x[last] for x in now]
-            if not last.all():
-                yield flush([x[~last] for x in now])
-        if carry is not None:
-            yield flush(carry)
+            yield row_batch((0, pick(whole_, last)), (1 + 2 * full[edge], pick(edge, hi)), (2 + 2 * full[stand], pick(stand, hi)))
+            if batch is None:
+                return
+            keep = np.flatnonzero(~closed & new_seg)
+            held = [x[keep] for x in rows]
+            held[9], held[10] = np.minimum(total[keep], 2).astype(times.dtype), sent[keep] | repeated[keep]
+            if len(keep) > bucket:
+                crowded = core[-1]
+                at = keep[:-1]  # the last segment may go on
+                yield row_batch((np.where(repeated[at], 4, 3), pick(at, hi)))
+                held = [x[-1:] for x in held]
 
     return run
 
@@ -220,29 +242,32 @@ def _sorted_out(bucket: int):
 # -- step 2: contexts and the suffix sort --------------------------------------------
 
 
+_CONTEXTS = [("kind", pa.int32()), ("core", pa.int64()), ("tk", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("q", pa.int32()), ("context", pa.binary())]
+
+
 def _contexts(width: int):
-    """mapInArrow over (text, places): the bytes of each listed segment."""
+    """mapInArrow over (text, tk, th, places): the bytes of each listed segment."""
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), _CONTEXTS, strict=True)], [n for n, _ in _CONTEXTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "core", "tk", "bytes", "lo", "q", "context"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        met: set[int] = set()
+        met: set[tuple[int, int]] = set()
         for batch in batches:
             out: list[tuple] = []
-            for text, tk, size, places in zip(*batch.columns, strict=True):
-                tk = tk.as_py()
-                if tk in met:
+            for text, tk, th, places in zip(*batch.columns, strict=True):
+                tk, th = tk.as_py(), th.as_py()
+                if (tk, th) in met:
                     continue
-                met.add(tk)
-                data, size = text.as_py(), size.as_py()
+                met.add((tk, th))
+                data = text.as_py()
                 for x in places.as_py():
-                    cut = data[x["lo"] : x["hi"] + width]
-                    out.append((x["kind"], x["core"], tk, size, x["lo"], x["p"] - x["lo"], cut))
-                if len(out) > 50_000:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                    out = []
+                    out.append((x["kind"], x["core"], tk, th, x["lo"], x["p"] - x["lo"], data[x["lo"] : x["hi"] + width]))
+                    if len(out) >= 10_000:
+                        yield rows(out)
+                        out = []
             if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                yield rows(out)
 
     return run
 
@@ -250,10 +275,15 @@ def _contexts(width: int):
 class Suffixes:
     """Texts laid end to end with prefix hashes; suffixes start at `at` and end at `end`."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, end: np.ndarray, group: np.ndarray, limit: int, seed: int):
+    def __init__(self, data: np.ndarray, at: np.ndarray, end: np.ndarray, group: np.ndarray, limit: int, seed: int, place: np.ndarray | None = None):
         self.data, self.at, self.end, self.group, self.limit = data, at, end, group, limit
         self.roller = _roller(seed)
-        self.prefix = self.roller.prefix(data)
+        self.prefix = self.roller.prefix(data, place)
+        self.down = self.roller.down[: len(data) + 1] if place is None else self.roller.down[np.append(place, 0)]
+
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the bytes a to b of one text; not yet mixed, so that equal bytes alone decide."""
+        return (self.prefix[b] - self.prefix[a]) * self.down[a]
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Common extension of suffixes x and y, up to limit: binary search over hashes of prefixes."""
@@ -265,7 +295,7 @@ class Suffixes:
             if not len(open_):
                 return low
             i, j, middle = a[open_], b[open_], (low[open_] + high[open_] + 1) // 2
-            same = self.roller.hash(self.prefix, i, i + middle) == self.roller.hash(self.prefix, j, j + middle)
+            same = self.hash(i, i + middle) == self.hash(j, j + middle)
             low[open_] = np.where(same, middle, low[open_])
             high[open_] = np.where(same, high[open_], middle - 1)
 
@@ -326,8 +356,8 @@ def _true_extension(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.nda
     return out
 
 
-def repeated_windows(contexts: list[bytes], q: np.ndarray, group: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each context the starts of windows that occur at least twice among the contexts of its group.
+def repeated_windows(contexts: list[bytes], q: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, start) of the windows that occur at least twice among the contexts of their group.
 
     q is the anchor's place in its context. Hashes that turn out to collide are
     replaced by others until every class is verified.
@@ -336,35 +366,34 @@ def repeated_windows(contexts: list[bytes], q: np.ndarray, group: np.ndarray, wi
     ends = np.cumsum(sizes)
     starts = ends - sizes
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    anchor, n = starts + q, len(contexts)
+    place = (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.int32)
+    anchor = starts + q
     seed = 2
     while True:
-        s = Suffixes(data, anchor, ends, group, width, seed)
+        s = Suffixes(data, anchor, ends, group, width, seed, place)
         order = s.sort()
         x, y = order[:-1], order[1:]
         shared = np.where(group[x] == group[y], s.extension(x, y), -1)
         most = np.minimum(np.minimum(ends[x] - anchor[x], ends[y] - anchor[y]), width)
         true = _true_extension(data, anchor[x], anchor[y], np.where(shared >= 0, most, 0), 1)
-        if (np.where(shared >= 0, true, -1) != shared).any():
-            seed += 1
-            continue
-        flagged = _classes(s, order, shared, starts, q, sizes, width)
-        if flagged is not None:
+        found = None if (np.where(shared >= 0, true, -1) != shared).any() else _classes(s, order, shared, q, sizes, width)
+        if found is not None:
             break
         seed += 1
-    owner, start = flagged
-    by = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[by], np.arange(n + 1))
-    return [np.sort(start[by[cuts[i] : cuts[i + 1]]]) for i in range(n)]
+    at = np.flatnonzero(found)
+    owner = np.searchsorted(ends, at, "right")
+    return owner, at - starts[owner]
 
 
-def _classes(s: Suffixes, order, shared, starts, q, sizes, width):
-    """(context, window start) of the repeated windows, or None if a hash collided.
+def _classes(s: Suffixes, order: np.ndarray, shared: np.ndarray, q: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray | None:
+    """Which bytes of the data start repeated windows, or None if a hash collided.
 
     A window that starts d bytes before the anchor equals another if the two
     suffixes share width - d bytes and the d bytes before them agree.
     """
-    owners, begins, pairs = [], [], []
+    hit = np.zeros(len(s.data), bool)
+    # Of each context the one that it was last compared with, and how far the bytes to the left agree.
+    other, depth = np.full(len(q), -1), np.zeros(len(q), np.int64)
     qo, rest = q[order], (sizes - q)[order]
     for d in range(int(q.max()) + 1):
         need = width - d
@@ -374,70 +403,46 @@ def _classes(s: Suffixes, order, shared, starts, q, sizes, width):
         cls = np.cumsum(np.append(0, shared < need))[has]
         who = order[has]
         at = s.at[who]
-        left = s.roller.hash(s.prefix, at - d, at)
-        key = mix(left) ^ mix(cls.astype(_U) + _U(1))
+        left = s.hash(at - d, at)
         by = np.lexsort((left, cls))
-        c, h = cls[by], left[by]
+        c, h, who = cls[by], left[by], who[by]
         new = np.append(True, (c[1:] != c[:-1]) | (h[1:] != h[:-1]))
         run = np.cumsum(new) - 1
-        times = np.bincount(run)[run]
-        twice = times > 1
-        del key
+        twice = np.bincount(run)[run] > 1
         if not twice.any():
             continue
-        leader = who[by][np.flatnonzero(new)][run]
-        found, lead = who[by][twice], leader[twice]
-        owners.append(found)
-        begins.append(q[found] - d)
-        other = found != lead
-        pairs.append(np.stack([found[other], lead[other], np.full(other.sum(), d)]))
-    if not owners:
-        return np.array([], int), np.array([], int)
-    a, b, d = np.concatenate(pairs, axis=1)
-    if len(a):
-        # The longest agreement claimed for a pair covers its shorter ones.
-        by = np.lexsort((d, b, a))
-        a, b, d = a[by], b[by], d[by]
-        last = np.append((a[1:] != a[:-1]) | (b[1:] != b[:-1]), True)
-        a, b, d = a[last], b[last], d[last]
-        if (_true_extension(s.data, s.at[a] - 1, s.at[b] - 1, d, -1) < d).any():
+        found, lead = who[twice], who[np.flatnonzero(new)][run][twice]
+        hit[s.at[found] - d] = True
+        a, b = found[found != lead], lead[found != lead]
+        new = other[a] != b
+        x, y = a[new], b[new]
+        other[x] = y
+        depth[x] = _true_extension(s.data, s.at[x] - 1, s.at[y] - 1, np.minimum(q[x], q[y]), -1)
+        if (depth[a] < d).any():
             return None
-    return np.concatenate(owners), np.concatenate(begins)
-
-
-def _runs(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > 1)
-    first = np.append(starts[0], starts[cut + 1])
-    last = np.append(starts[cut], starts[-1])
-    return [*zip(first.tolist(), (last + width).tolist(), strict=True)]
-
+    return hit
 
-_SPANS = "tk bigint, bytes int, a int, b int"
 
-
-def _span_rows(out: list[tuple]) -> pa.RecordBatch:
-    columns = [*zip(*out, strict=True)] if out else [(), (), (), ()]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["tk", "bytes", "a", "b"])
+_SPANS = "tk bigint, th bigint, a int, b int"
 
 
 def _bucket_sort(width: int):
     """mapInArrow over contexts sorted by core: spans of repeated windows of the edges."""
 
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        kind, core, tk, th, lo, q = (table.column(i).to_numpy() for i in range(6))
+        owner, start = repeated_windows(table.column(6).to_pylist(), q.astype(np.int64), core, width)
+        mine = kind[owner] == 1
+        owner, start = owner[mine], start[mine]
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (np.diff(start) > 1))) if len(owner) else np.array([], int)
+        last = np.append(first[1:], len(owner)) - 1
+        of = owner[first]
+        a, b = lo[of] + start[first], lo[of] + start[last] + width
+        return pa.record_batch([pa.array(tk[of]), pa.array(th[of]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["tk", "th", "a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
-
-        def solve(table: pa.Table) -> pa.RecordBatch:
-            kind, core, tk, size, lo, q = (table.column(i).to_numpy() for i in range(6))
-            found = repeated_windows(table.column(6).to_pylist(), q.astype(np.int64), core, width)
-            out = []
-            for i in np.flatnonzero(kind == 1):
-                out += [(int(tk[i]), int(size[i]), int(lo[i]) + a, int(lo[i]) + b) for a, b in _runs(found[i], width)]
-            return _span_rows(out)
-
         for batch in batches:
             held.append(batch)
             count += len(batch)
@@ -447,52 +452,54 @@ def _bucket_sort(width: int):
                 whole_ = int(np.searchsorted(core == core[-1], True))
                 if whole_:
                     yield solve(table.slice(0, whole_))
-                rest = table.slice(whole_)
-                held, count = rest.to_batches(), len(rest)
+                    held = table.slice(whole_).to_batches()
+                    count = len(table) - whole_
         if count:
             yield solve(pa.Table.from_batches(held))
 
     return run
 
 
-def _window_hashes(width: int):
-    """mapInArrow over contexts of crowded buckets: two hashes of each window, and where it stands."""
+def _window_digests(width: int):
+    """mapInArrow over contexts of crowded buckets: the digest of each window, and where it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = _roller(1001), _roller(1002)
         for batch in batches:
-            for kind, tk, size, lo, context in zip(*(batch.column(i) for i in (0, 2, 3, 4, 6)), strict=True):
-                data = np.frombuffer(context.as_py(), np.uint8)
+            for kind, tk, th, lo, context in zip(*(batch.column(i) for i in (0, 2, 3, 4, 6)), strict=True):
+                data = context.as_py()
                 n = len(data) - width + 1
-                a = np.arange(n)
-                h = [mix(r.hash(r.prefix(data), a, a + width)).view(np.int64) for r in (one, two)]
-                where = np.full(n, lo.as_py()) + a
+                made = digests([data[i : i + width] for i in range(n)])
+                where = np.arange(lo.as_py(), lo.as_py() + n, dtype=np.int32)
                 yield pa.record_batch([
-                    pa.array(h[0]), pa.array(h[1]), pa.array(np.full(n, kind.as_py() == 4)),
-                    pa.array(np.full(n, tk.as_py())), pa.array(np.full(n, size.as_py(), np.int32)), pa.array(where.astype(np.int32)),
-                ], ["h1", "h2", "stand", "tk", "bytes", "a"])
+                    pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy()), pa.array(np.full(n, kind.as_py() == 4)),
+                    pa.array(np.full(n, tk.as_py())), pa.array(np.full(n, th.as_py())), pa.array(where),
+                ], ["h1", "h2", "stand", "tk", "th", "a"])
 
     return run
 
 
+def _named(text: Column) -> dict[str, Column]:
+    """A text's name, 128 bits of hash."""
+    return {"__tk": F.xxhash64(text), "__th": F.xxhash64(F.lit("second"), text)}
+
+
 def repeated_spans(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """(tk, bytes, a, b): byte spans to remove, of texts given as (__data binary, __tk, __bytes)."""
-    rows = texts.select("__data", "__tk").mapInArrow(releasing(_anchored(width, gram)), _SEGMENTS)
-    sorted_ = rows.repartition("core").sortWithinPartitions("core", "seg")
-    kinds = "kind int, core bigint, tk bigint, bytes int, p int, lo int, hi int"
-    parts = saved(sorted_.mapInArrow(releasing(_sorted_out(bucket)), kinds))
-    spans = parts.filter("kind = 0").select("tk", "bytes", F.col("lo").alias("a"), (F.col("hi") + width).alias("b")).distinct()
-    edges = parts.filter("kind > 0").groupBy("tk", "bytes").agg(F.collect_list(F.struct("kind", "core", "p", "lo", "hi")).alias("places"))
-    met = texts.join(edges, (F.col("__tk") == F.col("tk")) & (F.col("__bytes") == F.col("bytes")))
-    schema = "kind int, core bigint, tk bigint, bytes int, lo int, q int, context binary"
-    contexts = saved(met.select("__data", "tk", "bytes", "places").mapInArrow(releasing(_contexts(width)), schema))
+    """(tk, th, a, b): byte spans to remove, of texts given as (__data binary, __tk, __th)."""
+    rows = texts.select("__data", "__tk", "__th").mapInArrow(releasing(_anchored(width, gram)), _SEGMENTS)
+    sorted_ = rows.repartition("core").sortWithinPartitions("core", "s1", "s2")
+    parts = saved(sorted_.mapInArrow(releasing(_sorted_out(bucket)), _KINDS))
+    spans = parts.filter("kind = 0").select("tk", "th", F.col("lo").alias("a"), (F.col("hi") + width).alias("b")).distinct()
+    edges = parts.filter("kind > 0").groupBy("tk", "th").agg(F.collect_list(F.struct("kind", "core", "p", "lo", "hi")).alias("places"))
+    met = texts.join(edges, (F.col("__tk") == F.col("tk")) & (F.col("__th") == F.col("th")))
+    schema = "kind int, core bigint, tk bigint, th bigint, lo int, q int, context binary"
+    contexts = saved(met.select("__data", "tk", "th", "places").mapInArrow(releasing(_contexts(width)), schema))
     sorted_ = contexts.filter("kind < 3").repartition("core").sortWithinPartitions("core")
     sparse = sorted_.mapInArrow(releasing(_bucket_sort(width)), _SPANS)
-    hashed = "h1 bigint, h2 bigint, stand boolean, tk bigint, bytes int, a int"
-    windows = contexts.filter("kind > 2").mapInArrow(releasing(_window_hashes(width)), hashed)
+    digested = "h1 bigint, h2 bigint, stand boolean, tk bigint, th bigint, a int"
+    windows = contexts.filter("kind > 2").mapInArrow(releasing(_window_digests(width)), digested)
     twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowded = windows.filter("not stand").join(twice, ["h1", "h2"], "left_semi")
-    crowded = crowded.select("tk", "bytes", "a", (F.col("a") + width).alias("b"))
+    crowded = crowded.select("tk", "th", "a", (F.col("a") + width).alias("b"))
     return spans.unionAll(sparse).unionAll(crowded)
 
 
@@ -516,17 +523,15 @@ def _removed(data: bytes, spans: list | None) -> tuple[bytes, int, int]:
 def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """docs with __kept (the remaining bytes), __removed (bytes) and __runs (maximal removed runs).
 
-    Rows keep all their columns. Shuffles: a row of 44 bytes for each ~85 bytes
+    Rows keep all their columns. Shuffles: a row of 60 bytes for each ~85 bytes
     of text, the texts once to fetch contexts and once to drop the spans.
     """
     small_batches(docs.sparkSession)
-    data = whole(text).cast("binary")
-    key = [data.alias("__data"), F.xxhash64(whole(text)).alias("__tk"), F.octet_length(whole(text)).alias("__bytes")]
-    spans = repeated_spans(docs.select(*key), width, gram, bucket)
-    spans = saved(spans.groupBy("tk", "bytes").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
-    spans = spans.select(F.col("tk").alias("__k"), F.col("bytes").alias("__n"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumns({"__tk": F.xxhash64(whole(text)), "__bytes": F.octet_length(whole(text))})
-    joined = keyed.join(spans, (F.col("__tk") == F.col("__k")) & (F.col("__bytes") == F.col("__n")), "left")
+    named = _named(whole(text))
+    spans = repeated_spans(docs.select(whole(text).cast("binary").alias("__data"), *(c.alias(n) for n, c in named.items())), width, gram, bucket)
+    spans = saved(spans.groupBy("tk", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    spans = spans.select(F.col("tk").alias("__k"), F.col("th").alias("__h"), F.col("spans").alias("__spans"))
+    joined = docs.withColumns(named).join(spans, (F.col("__tk") == F.col("__k")) & (F.col("__th") == F.col("__h")), "left")
 
     @F.arrow_udf("struct<kept: binary, removed: bigint, runs: bigint>")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:

@@ -340,20 +340,35 @@ def test_deduplicate(spark):
     assert rings.deduplicate(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [100, 4, 2])
 @pytest.mark.parametrize("size", [1, 2, 3, 50])
-def test_segments_in_batches_of_any_size(size):
-    """An anchor's segments may fill whole batches."""
+def test_segments_in_batches_of_any_size(size, bucket):
+    """An anchor's segments may fill whole batches; what is kept of it doesn't change the outcome."""
     r = np.random.default_rng(2)
-    core, seg = np.sort(r.integers(0, 4, 50)), np.sort(r.integers(0, 9, 50))
-    columns = [core, seg, np.arange(50), *(np.full(50, 9, np.int32) for _ in range(5)), np.ones(50, np.int32)]
-    names = ["core", "seg", "tk", "bytes", "p", "lo", "hi", "last", "times"]
+    core, s1, s2 = np.sort(r.integers(0, 4, 50)), r.integers(0, 9, 50), r.integers(0, 2, 50)
+    order = np.lexsort((s2, s1, core))
+    columns = [core, s1[order], s2[order], np.arange(50), np.arange(50), *(np.full(50, 9, np.int32) for _ in range(4)), np.ones(50, np.int32)]
+    names = ["core", "s1", "s2", "tk", "th", "p", "lo", "hi", "last", "times"]
     whole = pa.record_batch([pa.array(c) for c in columns], names)
     parts = [whole.slice(i, size) for i in range(0, 50, size)]
 
     def rows(batches):
-        return sorted(tuple(x.values()) for b in suffix._sorted_out(100)(iter(batches)) for x in b.to_pylist())
+        return sorted(tuple(x.values()) for b in suffix._sorted_out(bucket)(iter(batches)) for x in b.to_pylist())
 
-    assert rows(parts) == rows([whole]) and rows(parts)
+    def key(i):
+        return int(columns[0][i]), int(columns[1][i]), int(columns[2][i])
+
+    times, different = Counter(map(key, range(50))), Counter(c for c, _, _ in set(map(key, range(50))))
+    got = rows(parts)
+    assert {x[2] for x in got if x[0] == 0} == {i for i in range(50) if times[key(i)] > 1}
+    assert {x[2] for x in got if x[0] in (1, 3)} >= {i for i in range(50) if times[key(i)] == 1 and different[key(i)[0]] > 1}
+    for x in got:
+        if x[0] and different[x[1]] <= bucket - (size < 50):
+            assert x[0] < 3
+        if x[0] and different[x[1]] > bucket + 1:
+            assert x[0] > 2
+    if bucket == 100:
+        assert got == rows([whole])
 
 
 # -- 6 ---------------------------------------------------------------------------
@@ -573,6 +588,45 @@ def test_repeats(spark, width, gram, bucket):
     assert [got[i] for i in range(len(texts))] == removed(texts, width)
 
 
+def test_repeats_query(spark, tmp_path):
+    """All columns of the query, with a text longer than a block, repeated rows, and a passage that stands astride two blocks."""
+    r = random.Random(12)
+    passage = prose(90, 3)
+    long = "".join(chr(r.choice([97, 98, 32, 233, 0x4E2D])) for _ in range(suffix.BLOCK_BYTES))
+    cut = len(long[: suffix.BLOCK_BYTES // 2])
+    texts = [long[:cut] + passage + long[cut:] + passage, "x" + passage, passage[5:], None, "", "short", prose(60, 5), prose(60, 5), "ab" * 400, "z" * 199, "z" * 199]
+    docs_of(spark, texts, [9, 8, 7, 6, 5, 4, 3, 3, None, 1, 0]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = suffix.op9_suffix_array_dedup(spark, str(tmp_path)).collect()
+    expected = [(i, len((t or "").encode()), gone, runs, hashlib.sha256(kept).hexdigest()) for i, t, (kept, gone, runs) in zip([9, 8, 7, 6, 5, 4, 3, 3, None, 1, 0], texts, removed(texts, 200), strict=True)]
+    assert Counter(tuple(x[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for x in got) == Counter(expected)
+    assert suffix.remove_repeats(docs_of(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_colliding_hashes_are_replaced(monkeypatch):
+    """Hashes under which all strings of a length are equal change nothing."""
+    r = random.Random(3)
+    contexts, q = [], []
+    for _ in range(60):
+        left, right = "".join(r.choices("ab", k=r.randrange(6))), "".join(r.choices("ab", k=r.randrange(12, 20)))
+        contexts.append(f"{left}##{right}".encode())
+        q.append(len(left))
+    good = suffix.repeated_windows(contexts, np.array(q), np.zeros(60, np.int64), 12)
+    made = suffix._roller
+
+    def weak(seed):
+        roller = suffix.Rolling(seed, 64)
+        if seed < 4:
+            roller.table = np.full(256, 3, np.uint64) + (np.arange(256, dtype=np.uint64) & np.uint64(seed - 2))
+            roller.up, roller.down, roller.base, roller.back = np.ones(99, np.uint64), np.ones(99, np.uint64), np.uint64(1), np.uint64(1)
+        return roller if seed < 4 else made(seed)
+
+    monkeypatch.setattr(suffix, "_roller", weak)
+    found = suffix.repeated_windows(contexts, np.array(q), np.zeros(60, np.int64), 12)
+    assert [x.tolist() for x in found] == [x.tolist() for x in good] and len(found[0])
+    times = Counter(c[i : i + 12] for c, at in zip(contexts, q, strict=True) for i in range(len(c) - 11) if i <= at)
+    assert {(o, i) for o, i in zip(*(x.tolist() for x in found), strict=True)} == {(k, i) for k, (c, at) in enumerate(zip(contexts, q, strict=True)) for i in range(min(at, len(c) - 12) + 1) if times[c[i : i + 12]] > 1}
+
+
 def test_suffix_sort_orders_suffixes():
     data = np.frombuffer(prose(300, 1).encode(), np.uint8)
     at = np.sort(np.random.Generator(np.random.PCG64(1)).choice(len(data), 200, replace=False)).astype(np.int64)
