@@ -9,11 +9,17 @@ within l * TAU / 24 differing ones; its first two boxes agree, which is the
 bucket. Longer runs and the whole ring are tested inside the bucket; links that
 pass are checked against the shingles themselves.
 
-Nulls count as empty texts; texts without words are alike. Equal texts are one
-node, named by XXH64. A bucket of up to SMALL rings sends all its links. A larger
-one sends spanning forests, the nearest links first, and, once these are checked,
-all its links not sent yet between texts that are still in different classes. A
-bucket is held by one task, at 48 bytes for each different ring in it.
+A bucket of up to SMALL rings sends all its links. A larger one sends spanning
+forests, the nearest links first. Where these leave texts of a family, which is
+all that meet in such buckets, in different classes, the shingle sets themselves
+settle it: the texts outside the family's largest class are compared with all
+others through an inverted index in each task, which gives only links that join
+classes. Families are cut in blocks by the bytes of their sets, so no pair of
+texts is ever a row, and what a task holds is bounded.
+
+Nulls count as empty texts; texts without words are alike. Equal texts, also
+repeated rows, are one node, named by XXH64. An empty table gives an empty
+result; a hub's sets are copied once for each _PART links.
 """
 
 from __future__ import annotations
@@ -38,8 +44,8 @@ BUDGETS = np.arange(1, BOXES + 1) * TAU // BOXES
 SMALL, TIERS = 64, (2, 5, 8, TAU)
 #: Links of one text that are checked against one copy of its shingle set.
 _PART = 256
-#: Links that a record batch of a large bucket holds, and those of one ring more.
-_PIECE = 1 << 16
+#: Bytes of shingle sets that one block of a family has.
+BLOCK = 4 << 20
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 1 << 64, BOXES, np.uint64)
 _ODD = _rng.integers(0, 1 << 64, BOXES, np.uint64) | np.uint64(1)
@@ -177,23 +183,52 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.concatenate(x)) for x in (a, b, kind)], ["a", "b", "start"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over (key, node, start, label, tags) sorted by bucket: all links between different labels."""
-    for key, node, start, label, *tags in _buckets(batches):
-        tags = np.stack(tags, axis=1).view(np.uint8)
-        for s, n in zip(*(x.tolist() for x in _sizes(key)), strict=True):
-            if (label[s : s + n] == label[s]).all():
-                continue
-            a, b, held = [], [], 0
-            for i in range(s, s + n):
-                other = np.flatnonzero(label[i + 1 : s + n] != label[i]) + i + 1
-                other = other[within(tags[other] != tags[i], start[other])]
-                a.append(np.full(len(other), node[i]))
-                b.append(node[other])
-                held += len(other)
-                if held >= _PIECE or i == s + n - 1:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
-                    a, b, held = [], [], 0
+def joining(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], ask: np.ndarray, share: float) -> list[tuple[int, int]]:
+    """Links of at least that similarity from the texts marked by ask to any, none of which the links before it imply."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, of = np.unique(np.concatenate(sets), return_inverse=True) if sizes.sum() else (np.empty(0), np.empty(0, int))
+    by = np.argsort(of, kind="stable")
+    holders, cuts = owner[by], np.searchsorted(of[by], np.arange(len(values) + 1))
+    ends = np.cumsum(sizes)
+    _, group = np.unique(labels, return_inverse=True)
+    out = []
+    for x in np.flatnonzero(ask):
+        if (group == group[0]).all():
+            break
+        own = of[ends[x] - sizes[x] : ends[x]]
+        both = np.bincount(np.concatenate([holders[cuts[i] : cuts[i + 1]] for i in own]), minlength=len(sets)) if len(own) else np.where(sizes == 0, 1, 0)
+        total = sizes + sizes[x] - both
+        near = both >= share * total if len(own) else both > 0
+        for y in np.flatnonzero(near & (group != group[x])):
+            if group[y] != group[x]:
+                out.append((int(nodes[x]), int(nodes[y])))
+                group[group == group[y]] = group[x]
+    return out
+
+
+def _settled(share: float):
+    """mapInArrow over (family, one, two, node, label, ask, set) sorted by family and blocks: links that join classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def solve() -> pa.RecordBatch:
+            node, label, ask, sets = (list(x) for x in zip(*rows, strict=True))
+            links = joining(np.array(node), np.array(label), [np.frombuffer(x, "<u8") for x in sets], np.array(ask, bool), share)
+            return pa.record_batch([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for family, one, two, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (family, one, two) != now:
+                    if rows:
+                        yield solve()
+                    now, rows = (family, one, two), []
+                rows.append(row)
+        if rows:
+            yield solve()
+
+    return run
 
 
 _KEYED = "key bigint, node bigint, start int, t0 bigint, t1 bigint, t2 bigint"
@@ -215,15 +250,25 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return _ordered(_sent(nodes).filter("start < 0"))
 
 
-def _unsent(sent: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links of the buckets that sent forests, between nodes of different labels."""
-    members = sent.filter("start >= 0").select(F.col("a").alias("key"), F.col("b").alias("node"), "start")
-    rings = members.select("node").distinct().join(nodes, "node").select("node", "boxes")
-    tags = rings.mapInArrow(releasing(_keys), _KEYED).filter("start = 0").select("node", "t0", "t1", "t2")
-    both = members.join(tags, "node").join(labels, "node", "left")
-    rows = both.select("key", "node", "start", F.coalesce("label", "node").alias("label"), "t0", "t1", "t2")
-    spread = rows.repartition("key").sortWithinPartitions("key")
-    return _ordered(spread.mapInArrow(releasing(_across), "a bigint, b bigint"))
+def _family_links(members: DataFrame, labels: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Links that join classes within the families of members (key, node) of large buckets."""
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
+    family = components(members.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("label", "family")
+    known = family.join(labels, "node", "left").join(sets, "node")
+    known = saved(known.select("family", "node", F.coalesce("label", "node").alias("label"), "set"))
+    classes = known.groupBy("family", "label").agg(F.sum(F.octet_length("set") + 64).alias("bytes"))
+    cut = lambda x: F.ceil(x / BLOCK).cast("int")
+    main = F.max(F.struct("bytes", "label"))
+    split = classes.groupBy("family").agg(main["label"].alias("main"), cut(main["bytes"]).alias("large"), cut(F.sum("bytes") - main["bytes"]).alias("small"))
+    rows = known.join(split.filter("small > 0"), "family").withColumn("ask", F.col("label") != F.col("main"))
+    spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("ask"), spread(F.col("small"))).otherwise(F.col("small") + spread(F.col("large"))))
+    # Each block outside the main class meets every other block once; within itself it is compared each time.
+    others = F.filter(F.sequence(F.lit(0), F.col("small") + F.col("large") - 1), lambda o: (o != F.col("own")) & ((o < F.col("small")) | F.col("ask")))
+    rows = rows.select("family", "own", "node", "label", "ask", "set", F.explode(others).alias("o"))
+    rows = rows.select("family", F.least("own", "o").alias("one"), F.greatest("own", "o").alias("two"), "node", "label", "ask", "set")
+    spread_ = rows.repartition("family", "one", "two").sortWithinPartitions("family", "one", "two", "node")
+    return _ordered(spread_.mapInArrow(releasing(_settled(share)), "a bigint, b bigint"))
 
 
 def _checked(edges: DataFrame, sets: DataFrame, share: float) -> DataFrame:
@@ -251,7 +296,8 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
     nodes = saved(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("boxes").alias("boxes")))
     sent = saved(_sent(nodes))
     edges = saved(_ordered(sent.filter("start < 0")))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("least").alias("id"))
+    members = sent.filter("start >= 0").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).unionAll(members.select("node")).distinct().join(nodes, "node").select("node", F.col("least").alias("id"))
     same_id = (F.col("r.node") == F.col("e.node")) & F.col("r.id").eqNullSafe(F.col("e.id"))
     texts = body.alias("r").join(ends.alias("e"), same_id).select("r.node", "r.text")
     sets = saved(texts.withColumn("set", _of_text(shingle_set, shingle)("text")).groupBy("node").agg(F.min("set").alias("set")))
@@ -262,9 +308,8 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
     apart = named.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     links = saved(first.unionAll(_checked(apart, sets, share)))
     label = saved(components(links))
-    unsent = saved(_unsent(sent, nodes, label).join(edges, ["a", "b"], "left_anti"))
-    if not unsent.isEmpty():
-        label = saved(components(links.unionAll(_checked(unsent, sets, share))))
+    if not members.isEmpty():
+        label = saved(components(links.unionAll(_family_links(members, label, sets, share))))
     labels = nodes.select("node", "least").join(label, "node", "left")
     labels = saved(labels.select("node", "least", F.coalesce("label", "node").alias("class_node")))
     classes = labels.groupBy("class_node").agg(F.min("least").alias("component_id"))

@@ -332,6 +332,18 @@ def test_large_buckets_lose_no_link(spark):
     assert len(set(expected.values())) == 80 and got == expected
 
 
+@pytest.mark.parametrize(("seed", "words", "block"), [(1, 120, 4 << 20), (2, 120, 8 << 10), (3, 100, 20 << 10)])
+def test_variants_without_their_base(spark, monkeypatch, seed, words, block):
+    """300 variants of one text with two words replaced in each, whose similarities lie on both sides of 0.8, in one and in many blocks."""
+    monkeypatch.setattr(rings, "BLOCK", block)
+    r = random.Random(seed)
+    base = " ".join(f"w{r.getrandbits(20)}" for _ in range(words))
+    texts = [edited(base, 2, r) for _ in range(300)] + [None, "  ", "one"]
+    expected = near_duplicates(dict(enumerate(texts)))
+    assert len(set(expected.values())) > 10
+    assert {x["doc_id"]: x["component_id"] for x in rings.near_classes(docs_of(spark, texts)).collect()} == expected
+
+
 def test_deduplicate(spark):
     texts = [prose(50, 1)] * 3 + [prose(50, 2), None, "", prose(50, 3)]
     kept = rings.deduplicate(docs_of(spark, texts, [5, 4, 5, 7, 8, 9, None]))
