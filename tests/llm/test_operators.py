@@ -78,6 +78,30 @@ def test_neighbours(spark):
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
 
 
+def test_neighbours_of_odd_vectors(spark):
+    """Repeated rows, two vectors of one id, other lengths, and components of any size, against brute force."""
+    r = np.random.Generator(np.random.PCG64(5))
+    rows = [(i, (r.standard_normal(6) * 10.0 ** int(r.integers(-200, 200))).tolist()) for i in range(0, 120)]
+    rows += [(i, r.standard_normal(3).tolist()) for i in range(200, 220)]
+    rows += rows[:12] * 2 + [(0, rows[1][1]), (50, [1e200] * 6), (100, [1e-200] * 6), (300, [-0.5] * 6), (4, [5e-324] * 6)]
+    df = spark.createDataFrame([(i, v, -1, -2.0) for i, v in rows], "vec_id bigint, embedding array<double>, q bigint, score double").repartition(5)
+    got = {}
+    for q, rank, i, s in ann.neighbours(df, df.filter("vec_id % 50 = 0")).collect():
+        got.setdefault(q, []).append((rank, i, round(s, 9)))
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+
+    def turned(v):
+        v = np.array(v) / np.abs(v).max()
+        return v / math.sqrt((v * v).sum())
+
+    expected = {}
+    for q, v in distinct:
+        if q % 50 == 0:
+            cos = sorted((-round(float(turned(v) @ turned(w)), 9), i) for i, w in distinct if len(w) == len(v) and (i, w) != (q, v))
+            expected.setdefault(q, []).extend((n + 1, i, -c) for n, (c, i) in enumerate(cos[:5]))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in expected.items()}
+
+
 # -- 2 ---------------------------------------------------------------------------
 
 BASE = {
