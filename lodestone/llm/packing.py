@@ -11,6 +11,8 @@ size, which is counted in buckets, so no size gathers in one task.
 
 Nulls are empty texts. Every document ends with END_ID. Documents longer than
 the capacity are cut from their end into full pieces; the first may be shorter.
+Repeated rows, also of a missing id, are packed each; pieces of a size are equal
+in rank, and ties go by their columns. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import releasing, saved, small_batches, whole
+from lodestone.llm.common import free, releasing, saved, small_batches, whole
 
 CAPACITY = 2048
 END_ID = 0
@@ -36,15 +38,14 @@ BUCKET_ROWS = 50_000
 _encoders: dict = {}
 
 
-def encoder(ranks: str, pattern: str, specials: tuple[tuple[str, int], ...]):
-    """The tokenizer of a rank file, one for each process."""
-    key = (ranks, pattern, specials)
+def encoder(merges: bytes, pattern: str, specials: tuple[tuple[str, int], ...]):
+    """The tokenizer of a rank file's contents, one for each process."""
+    key = (zlib.crc32(merges), len(merges), pattern, specials)
     if key not in _encoders:
         import tiktoken
 
-        with open(ranks, "rb") as f:
-            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[key] = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=merges, special_tokens=dict(specials))
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, merges.splitlines())}
+        _encoders[key] = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(specials))
     return _encoders[key]
 
 
@@ -62,11 +63,11 @@ def cut(tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(first + i * capacity, capacity) for i in range(count - 1)]
 
 
-def _tokenized(tokenizer, capacity: int, keep: bool):
+def _tokenized(shared, capacity: int, keep: bool):
     names = ["key", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(*tokenizer).encode_to_numpy
+        encode = encoder(*shared.value).encode_to_numpy
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -90,7 +91,10 @@ def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity:
     small_batches(docs.sparkSession)
     schema = "key bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * ids
     made = docs.select(F.col(id).cast("bigint"), whole(text))
-    return made.mapInArrow(releasing(_tokenized(tokenizer or default_tokenizer(), capacity, ids)), schema)
+    path, *rest = tokenizer or default_tokenizer()
+    with open(path, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast((f.read(), *rest))
+    return made.mapInArrow(releasing(_tokenized(shared, capacity, ids)), schema)
 
 
 class _Bins:
@@ -166,11 +170,12 @@ def _places(made: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
 
 
 def pack(pieces: DataFrame, key: str = "key", length: str = "length", capacity: int = CAPACITY) -> DataFrame:
-    """pieces with sequence_id and offset.
+    """pieces with sequence_id and offset; columns of these names are an error.
 
     The plan is broadcast: its rows are bounded by the capacity, not by the input.
     """
     spark = pieces.sparkSession
+    free(pieces, "sequence_id", "offset")
     counts = pieces.groupBy(F.col(length).alias("__size")).agg(F.count(F.lit(1)).alias("n"))
     sizes = {r[0]: r[1] for r in counts.collect()}
     rows = _places(plan(sizes, capacity))
@@ -198,11 +203,7 @@ def pack(pieces: DataFrame, key: str = "key", length: str = "length", capacity:
 def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer=None, ids: bool = False) -> DataFrame:  # noqa: A002
     """A row per piece of the documents with its place in a sequence of at most capacity tokens."""
     pieces = saved(tokenize(docs, id, text, capacity, tokenizer, ids))
-    narrow = pieces.drop("ids")
-    packed = pack(narrow, capacity=capacity)
-    if ids:
-        packed = packed.join(pieces.select("key", "piece", "ids_crc32", "ids"), ["key", "piece", "ids_crc32"])
-    return packed.withColumnRenamed("key", id)
+    return pack(pieces, capacity=capacity).withColumnRenamed("key", id)
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ No piece has a marker behind another character, so a text is cut before
 markers and each part, with its marks, is segmented for itself and remembered
 for a while. A vocabulary with other pieces is segmented text by text.
 
-Nulls are empty texts, which have no pieces.
+Scores are those of the vocabulary file: tokenizers aren't trained here. Nulls are
+empty texts, which have no pieces. Repeated rows are coded alike; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small_batches, whole
+from lodestone.llm.common import free, small_batches, whole
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -282,7 +284,8 @@ def default_vocabulary() -> str:
 
 
 def encode_texts(docs: DataFrame, text: str = "text", vocabulary: str | None = None, name: str = "ids") -> DataFrame:
-    """docs with an array of piece ids. The vocabulary is read once and broadcast."""
+    """docs with an array of piece ids; a column of that name is an error. The vocabulary is read once and broadcast."""
+    free(docs, name)
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary or default_vocabulary()))
 
@@ -297,7 +300,8 @@ def encode_texts(docs: DataFrame, text: str = "text", vocabulary: str | None = N
 
 
 def decode_ids(docs: DataFrame, ids: str = "ids", vocabulary: str | None = None, name: str = "decoded") -> DataFrame:
-    """docs with the text of an array of piece ids; null ids give an empty text."""
+    """docs with the text of an array of piece ids; null ids give an empty text; a column of that name is an error."""
+    free(docs, name)
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary or default_vocabulary()))
 

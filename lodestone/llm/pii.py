@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import let, prefix_sums, whole
+from lodestone.llm.common import free, let, prefix_sums, whole
 
 ADDED_SCORE = 0.6
 CONTEXT_CHARS = 40
@@ -119,7 +119,12 @@ def _spans(text: Column, kind: Kind) -> Column:
 
 
 def find_pii(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
-    """docs with an array of (kind, start, end, score), by kind as in KINDS, then start."""
+    """docs with an array of (kind, start, end, score), by kind as in KINDS, then start.
+
+    A column of that name is an error. Rows, also repeated ones, are looked at one
+    by one; an empty table gives an empty result.
+    """
+    free(docs, name, "__pii_text")
     held = docs.withColumn("__pii_text", whole(text))
     made = F.concat(*(_spans(F.col("__pii_text"), k) for k in KINDS))
     return held.withColumn(name, made).drop("__pii_text")

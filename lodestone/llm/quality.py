@@ -8,7 +8,8 @@ vector has length one. A score is the sigmoid of a sparse dot product.
 The model learns from at most `sample` labelled rows, those with the least
 hash of their id, in one task of bounded size; all texts are scored whole.
 Nulls and empty texts have the bias feature only. Without labels all scores are
-a half. Several labels of a document count as several rows.
+a half. Several labels of a document count as several rows, and so do repeated
+documents; equal rows score alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import release, releasing, remainder, small_batches, whole
+from lodestone.llm.common import free, release, releasing, remainder, small_batches, whole
 
 BITS = 18
 SAMPLE = 8192
@@ -148,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with the probability of label 1. The model is broadcast: its size is fixed."""
+    """docs with the probability of label 1; a column of that name is an error. The model is broadcast: its size is fixed."""
+    free(docs, name)
     small_batches(docs.sparkSession)
     bits = int(len(weights)).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(weights)

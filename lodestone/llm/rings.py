@@ -41,7 +41,7 @@ TAU = 11
 BUDGETS = np.arange(1, BOXES + 1) * TAU // BOXES
 #: Buckets of so many rings send all their links, at most half as many for each ring;
 #: larger ones send a spanning forest of the links of up to each of these distances.
-SMALL, TIERS = 64, (2, 5, 8, TAU)
+SMALL, TIERS = 16, (2, 5, 8, TAU)
 #: Links of one text that are checked against one copy of its shingle set.
 _PART = 256
 #: Bytes of shingle sets that one block of a family has.
@@ -241,7 +241,8 @@ def _ordered(links: DataFrame) -> DataFrame:
 def _sent(nodes: DataFrame) -> DataFrame:
     """What _linked gives for (node, boxes)."""
     keyed = nodes.select("node", "boxes").mapInArrow(releasing(_keys), _KEYED)
-    spread = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
+    # In the order of nodes the forests of a family's buckets mostly start from the same text, so their links coincide.
+    spread = keyed.repartition("key").sortWithinPartitions("key", "node")
     return spread.mapInArrow(releasing(_linked), "a bigint, b bigint, start int")
 
 

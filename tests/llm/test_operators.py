@@ -555,6 +555,37 @@ def test_packing(spark, monkeypatch):
     assert packing.pack_documents(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_packing_repeated_rows_keep_their_ids(spark):
+    docs = docs_of(spark, ["a b", "a b", "a b", None], [1, 1, None, None])
+    rows = packing.pack_documents(docs, ids=True).collect()
+    assert sorted((str(r["doc_id"]), len(r["ids"]) == r["length"]) for r in rows) == [("1", True), ("1", True), ("None", True), ("None", True)]
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 4
+
+
+def test_names_that_exist_are_refused(spark):
+    docs = docs_of(spark, ["a"])
+    for make in (
+        lambda: pii.find_pii(docs, name="Lang"), lambda: quality.score(docs, np.zeros(2, np.float32), name="source"), lambda: pieces.encode_texts(docs, name="text"),
+        lambda: pieces.decode_ids(docs, "lang", name="TEXT"), lambda: packing.pack(packing.tokenize(docs).withColumn("offset", F.lit(1))),
+    ):
+        with pytest.raises(ValueError, match="exist already"):
+            make()
+
+
+def test_empty_tables_and_extra_columns(spark, tmp_path):
+    """Queries on no documents, and on rows with columns named like the operators' own."""
+    docs_of(spark, []).write.parquet(str(tmp_path / "none/documents.parquet"))
+    odd = docs_of(spark, ["a b c", None, "", "a b c"], [1, 2, None, 1])
+    for name in ("node", "tk", "score", "ids", "pii", "length", "h", "key", "a", "b", "row"):
+        odd = odd.withColumn(name, F.lit("x"))
+    odd.write.parquet(str(tmp_path / "odd/documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "none/labels.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "odd/labels.parquet"))
+    for query in (pii.op2_pii, quality.op3_quality_classifier, cws.op4_document_fingerprints, simhash.op5_simhash_near_dedup, maxent.op6_lm_scoring, packing.op7_best_fit_packing, pieces.op8_sentencepiece, suffix.op9_suffix_array_dedup):
+        assert query(spark, str(tmp_path / "none")).count() == 0
+        assert Counter(r["doc_id"] for r in query(spark, str(tmp_path / "odd")).collect()) == {1: 2, 2: 1, None: 1}
+
+
 # -- 8 ---------------------------------------------------------------------------
 
 
@@ -593,6 +624,45 @@ def test_pieces(spark, coder):
     assert all(x["decoded"] == (x["text"] or "") for x in out)
 
 
+def message(*fields):
+    """A protocol buffer of (number, value): bytes, text, floats and small ints."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += bytes([number << 3 | 5]) + np.float32(value).tobytes()
+        elif isinstance(value, int):
+            out += bytes([number << 3, value])
+        else:
+            value = value.encode() if isinstance(value, str) else value
+            size, n = b"", len(value)
+            while n >= 128:
+                size, n = size + bytes([n & 127 | 128]), n >> 7
+            out += bytes([number << 3 | 2]) + size + bytes([n]) + value
+    return out
+
+
+def test_pieces_agree_with_the_library(tmp_path):
+    """A unigram model of given log scores, coded by the sentencepiece library and here."""
+    import sentencepiece
+
+    r = random.Random(4)
+    names = {"".join(r.choices("abcé", k=r.randrange(1, 6))) for _ in range(150)} | set("abcé")
+    names |= {pieces.MARK + x for x in r.sample(sorted(names), 60)} | {pieces.MARK}
+    made = [("<unk>", 0.0, 2), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((x, -r.uniform(1, 12) - len(x) * 0.37, 1) for x in sorted(names))]
+    body = [(1, message((1, x), (2, score), (3, kind))) for x, score, kind in made]
+    # A unigram model (field 3) with byte fallback (field 35) and no normalisation.
+    model = message(*body, (2, message((3, 1)) + b"\x98\x02\x01"), (3, message((1, "identity"), (3, 1), (4, 0), (5, 1))))
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model)
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    coder = pieces.Coder(pieces.Vocabulary.load(str(path)))
+    texts = ["".join(r.choices("abcé  ", k=r.randrange(1, 40))) for _ in range(300)] + ["a ü b", "漢字 a"]
+    for t in texts:
+        own, theirs = np.frombuffer(coder.encode(t), "<u4").tolist(), library.encode(t)
+        assert own == theirs, (t, coder.vocabulary.unknown)
+        assert coder.decode(own) == t
+
+
 # -- 9 ---------------------------------------------------------------------------
 
 
