@@ -299,17 +299,17 @@ def left_join(t):
     return x.left_join(y, by)
 
 
-@_query(f"SELECT o_custkey AS c_custkey, c_name, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c RIGHT JOIN {_BIG} o ON {_ON}")
+@_query(f"SELECT o_custkey AS c_custkey, c_name, o_orderkey FROM (SELECT c_custkey + 20 AS c_custkey, c_name FROM customer) c RIGHT JOIN {_BIG} o ON {_ON}")
 def right_join(t):
     x, y, by = _sides(t)
-    return x.filter(c.c_custkey % 3 == 0).right_join(y, by)
+    return x.mutate(c_custkey=c.c_custkey + 20).right_join(y, by)
 
 
 @_query(f"""SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, o_orderkey
-    FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN {_BIG} o ON {_ON}""")
+    FROM (SELECT c_custkey + 20 AS c_custkey, c_name FROM customer) c FULL JOIN {_BIG} o ON {_ON}""")
 def full_join(t):
     x, y, by = _sides(t)
-    return x.filter(c.c_custkey % 3 == 0).full_join(y, by)
+    return x.mutate(c_custkey=c.c_custkey + 20).full_join(y, by)
 
 
 @_query(f"SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM {_BIG} o WHERE {_ON})")
@@ -491,12 +491,15 @@ _roundtrip("blocks_roundtrip", _CUSTOMERS.format("c_acctbal > 5000"), _customers
 
 
 def _grid(t):
-    x = t("customer").filter(c.c_custkey < 100)
+    x = t("customer")
     return x.transmute(x=c.c_custkey % 10 * 2.0, y=c.c_custkey / 10 * 3.0, band1=c.c_acctbal, band2=c.c_custkey * 1.0)
 
 
 _roundtrip(
     "geotiff_roundtrip",
-    "SELECT c_custkey % 10 * 2.0::DOUBLE AS x, c_custkey // 10 * 3.0::DOUBLE AS y, c_acctbal AS band1, c_custkey::DOUBLE AS band2 FROM customer WHERE c_custkey < 100",
+    """SELECT x * 2.0::DOUBLE AS x, y * 3.0::DOUBLE AS y, c_acctbal AS band1, c_custkey::DOUBLE AS band2
+    FROM (SELECT range AS x FROM range(0, 10)) CROSS JOIN
+    (SELECT unnest(range(min(c_custkey) // 10, max(c_custkey) // 10 + 1)) AS y FROM customer)
+    LEFT JOIN customer ON c_custkey = y * 10 + x""",
     _grid, lambda f, p: write_geotiff(f, p, compress=True), read_geotiff,
 )

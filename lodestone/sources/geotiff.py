@@ -90,7 +90,8 @@ def open_raster(path: str) -> Raster:
     bits = t.get(BITS, [8])[0]
     if kind is None or bits not in (8, 16, 32, 64) or (kind == "f" and bits < 32):
         raise ValueError("unsupported TIFF sample type")
-    gt = [0.0, 1.0, 0.0, 0.0, 0.0, -1.0]
+    # Without a georeference pixels are units, and y rises from the bottom edge.
+    gt = [0.0, 1.0, 0.0, float(t[HEIGHT][0]), 0.0, -1.0]
     if TRANSFORM in t:
         m = t[TRANSFORM]
         gt = [m[3], m[0], m[1], m[7], m[4], m[5]]

@@ -1,8 +1,8 @@
 """Verbs on streams.
 
 The engine's own tables are bounded. The stateless verbs (filter, select,
-rename, relocate, mutate and transmute without windows, bind_rows' lattice) are
-plain projections, so they also run on a streaming DataFrame.
+rename, relocate, mutate and transmute without windows) are plain projections, so
+they also run on a streaming DataFrame. bind_rows and all that needs an order don't.
 """
 
 from __future__ import annotations

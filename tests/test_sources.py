@@ -71,3 +71,44 @@ def test_parquet_order(spark, x, tmp_path):
     path = str(tmp_path / "x.parquet")
     write_parquet(x, path)
     assert read_parquet(spark, path).filter(c.i > 0).slice_tail(1).pull("i") == [3]
+
+
+def test_geotiff_foreign_files(spark, tmp_path):
+    """Classic files of both byte orders, integer samples, planar bands, nodata, and no georeference."""
+    import struct
+
+    for order, name in (("<", "II"), (">", "MM")):
+        for planar in (1, 2):
+            bands = [[1, 2, 3, -9], [5, 6, 7, 8]]  # two columns, two rows
+            pixels = [v for band in bands for v in band] if planar == 2 else [v for cell in zip(*bands, strict=True) for v in cell]
+            data = struct.pack(f"{order}8h", *pixels)
+            nodata = b"-9\0\0"
+            at = 8
+            offsets = [at, at + 8] if planar == 2 else [at]
+            sizes = [8, 8] if planar == 2 else [16]
+            more = at + len(data)
+            tags = [(256, 3, [2]), (257, 3, [2]), (258, 3, [16, 16]), (259, 3, [1]), (262, 3, [1]), (273, 4, offsets), (277, 3, [2]), (278, 3, [2]), (279, 4, sizes), (284, 3, [planar]), (339, 3, [2, 2])]
+            entries, extra = b"", b""
+            for tag, kind, values in tags:
+                body = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+                if len(body) > 4:
+                    extra, body = extra + body, struct.pack(f"{order}I", more + len(extra))
+                entries += struct.pack(f"{order}HHI", tag, kind, len(values)) + body.ljust(4, b"\0")
+            entries += struct.pack(f"{order}HHI", 42113, 2, 3) + nodata
+            head = name.encode() + struct.pack(f"{order}HI", 42, more + len(extra))
+            path = tmp_path / f"{name}{planar}.tif"
+            path.write_bytes(head + data + extra + struct.pack(f"{order}H", len(tags) + 1) + entries + bytes(4))
+            rows = sorted(map(tuple, read_geotiff(spark, str(path)).to_df().select("x", "y", "band1", "band2").collect()))
+            assert rows == [(0.5, 0.5, 3.0, 7.0), (0.5, 1.5, 1.0, 5.0), (1.5, 0.5, None, 8.0), (1.5, 1.5, 2.0, 6.0)]
+
+
+def test_stateless_verbs_on_a_stream(spark, tmp_path):
+    from lodestone import c
+    from lodestone.streaming import apply_stateless
+
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+    out = apply_stateless(stream, lambda f: f.filter(c.id > 6).mutate(twice=c.id * 2).select("twice"))
+    query = out.writeStream.format("memory").queryName("made").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert sorted(r[0] for r in spark.table("made").collect()) == [14, 16, 18]
