@@ -173,6 +173,48 @@ def test_quality(spark):
     assert np.array_equal(weights, quality.train(docs.repartition(5), labels))
 
 
+def slow_ftrl(rows, order):
+    """Follow-the-regularised-leader one coordinate at a time; rows are ({feature: value}, label)."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return (math.copysign(quality.L1, z[i]) - z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for k in order:
+        x, y = rows[k]
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+        for i, v in x.items():
+            g = (p - y) * v
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+            n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_learner_against_a_slow_one():
+    texts = [(prose(20, i), i % 2) for i in range(30)] + [("", 1), ("word", 0)]
+    rows = [(dict(zip(*(x.tolist() for x in quality.features(t, 12)), strict=True)), y) for t, y in texts]
+    order = [i for epoch in range(2) for i in np.random.Generator(np.random.PCG64(epoch)).permutation(len(rows))]
+    expected, got = slow_ftrl(rows, order), quality.fit(texts, bits=12, epochs=2)
+    assert all(abs(got[i] - expected.get(i, 0.0)) < 1e-4 for i in range(1 << 12)) and np.abs(got).max() > 0.05
+
+
+def test_held_out_labels_are_ranked(spark):
+    """Area under the curve on labels that the query didn't learn from, and its other columns."""
+    sf = SF.replace("0.001", "0.01")
+    labels = dict(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect())
+    rows = quality.op3_quality_classifier(spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1
+    held = [(r["score"], labels[r["doc_id"]]) for r in rows if r["held_out"] and labels.get(r["doc_id"]) in (0, 1)]
+    good, bad = ([s for s, y in held if y == k] for k in (1, 0))
+    assert len(good) > 10 and len(bad) > 3
+    assert np.mean([a > b for a in good for b in bad]) > 0.95
+
+
 # -- 4 ---------------------------------------------------------------------------
 
 
