@@ -30,6 +30,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -110,10 +111,10 @@ class Model:
     def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Head index of each token (-1: none), and its hash as a context."""
         get = self.index.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         context = self.context[at] if len(self.context) else np.zeros(len(at), _U)
-        for i in np.flatnonzero(at < 0):
-            context[i] = zlib.crc32(words[i])
+        rare = np.flatnonzero(at < 0)
+        context[rare] = [zlib.crc32(words[i]) for i in rare.tolist()]
         return at, context
 
     def parts(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -142,15 +143,37 @@ def _rows(features: np.ndarray, level: int, classes: np.ndarray) -> np.ndarray:
 
 def _softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials and their sums."""
-    z = weights[rows[:, 0]]
+    z = np.take(weights, rows[:, 0], axis=0)
     for f in range(1, rows.shape[1]):
-        z += weights[rows[:, f]]
+        z += np.take(weights, rows[:, f], axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    z -= np.ascontiguousarray(z.T).max(axis=0)[:, None]
     np.exp(z, out=z)
     return z, z.sum(axis=1)
 
 
+#: Rows that occur up to so often in a batch are summed occurrence by occurrence, the others one by one.
+_FEW = 4
+
+
+def _row_sums(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct entries of rows, shape (positions, features), and the sums of g over the positions of each, in order."""
+    flat = rows.T.ravel()
+    order = np.argsort(flat, kind="stable")
+    sorted_ = flat[order]
+    at = np.tile(np.arange(len(g)), rows.shape[1])[order]
+    first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    times = np.diff(np.append(first, len(at)))
+    total = np.take(g, at[first], axis=0)
+    for k in range(1, _FEW):
+        more = np.flatnonzero((times > k) & (times <= _FEW))
+        total[more] += np.take(g, at[first[more] + k], axis=0)
+    if len(often := np.flatnonzero(times > _FEW)):
+        own = np.take(g, at[np.repeat(times > _FEW, times)], axis=0)
+        total[often] = np.add.reduceat(own, np.cumsum(times[often]) - times[often], axis=0)
+    return sorted_[first], total
+
+
 def _walk(model: Model, features: np.ndarray, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(level, positions, biases, rows, children) down the classes; words outside the vocabulary end at the first."""
     inside = np.flatnonzero(targets < VOCABULARY)
@@ -181,14 +204,14 @@ def update(model: Model, weights: Weights, squares: Weights, features: np.ndarra
         g, sums = _softmax(bias, weights[level], rows)
         g /= sums[:, None]
         g[np.arange(len(at)), child] -= 1
-        flat = rows.T.ravel()
-        order = np.argsort(flat, kind="stable")
-        sorted_ = flat[order]
-        first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-        total = np.add.reduceat(g[order % len(at)], first, axis=0)
-        to = sorted_[first]
-        squares[level][to] += total * total
-        weights[level][to] -= RATE * total / np.sqrt(squares[level][to] + 1e-3)
+        to, total = _row_sums(g, rows)
+        square = np.take(squares[level], to, axis=0)
+        square += total * total
+        squares[level][to] = square
+        square += 1e-3
+        total *= RATE
+        total /= np.sqrt(square, out=square)
+        weights[level][to] = np.take(weights[level], to, axis=0) - total
 
 
 _PIECE = 1 << 12  # rows of weights sent as one record
