@@ -137,15 +137,19 @@ def context_features(line: np.ndarray) -> np.ndarray:
 
 
 def _rows(features: np.ndarray, level: int, classes: np.ndarray) -> np.ndarray:
-    h = features + (classes.astype(_U) * _ODD[1] + _U(level))[:, None] if level else features
-    return ((h ^ (h >> _U(29))) * _ODD[2] >> _U(65 - ROWS[level].bit_length())).astype(np.uint16)
+    """Rows of weights, shape (features, positions), from features of that shape."""
+    h = features + (classes.astype(_U) * _ODD[1] + _U(level)) if level else features.copy()
+    h ^= h >> _U(29)
+    h *= _ODD[2]
+    h >>= _U(65 - ROWS[level].bit_length())
+    return h.astype(np.uint16)
 
 
 def _softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials and their sums."""
-    z = np.take(weights, rows[:, 0], axis=0)
-    for f in range(1, rows.shape[1]):
-        z += np.take(weights, rows[:, f], axis=0)
+    z = np.take(weights, rows[0], axis=0)
+    for row in rows[1:]:
+        z += np.take(weights, row, axis=0)
     z += bias
     z -= np.ascontiguousarray(z.T).max(axis=0)[:, None]
     np.exp(z, out=z)
@@ -157,11 +161,11 @@ _FEW = 4
 
 
 def _row_sums(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct entries of rows, shape (positions, features), and the sums of g over the positions of each, in order."""
-    flat = rows.T.ravel()
+    """Distinct entries of rows, shape (features, positions), and the sums of g over the positions of each, in order."""
+    flat = rows.ravel()
     order = np.argsort(flat, kind="stable")
     sorted_ = flat[order]
-    at = np.tile(np.arange(len(g)), rows.shape[1])[order]
+    at = np.tile(np.arange(len(g)), len(rows))[order]
     first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
     times = np.diff(np.append(first, len(at)))
     total = np.take(g, at[first], axis=0)
@@ -177,14 +181,17 @@ def _row_sums(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _walk(model: Model, features: np.ndarray, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(level, positions, biases, rows, children) down the classes; words outside the vocabulary end at the first."""
     inside = np.flatnonzero(targets < VOCABULARY)
+    features = np.ascontiguousarray(features.T)
     for level in range(LEVELS):
         width = BRANCH ** (LEVELS - 1 - level)
         at = inside if level else np.arange(len(targets))
         if not len(at):
             return
+        if level == 1:
+            features = features[:, at]
         child = targets[at] // width
         parent = child // BRANCH
-        yield level, at, model.biases[level][parent], _rows(features[at], level, parent), child % BRANCH
+        yield level, at, model.biases[level][parent], _rows(features, level, parent), child % BRANCH
 
 
 def log_probabilities(model: Model, weights: Weights, features: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -314,8 +321,7 @@ def train(texts: DataFrame, model: Model, rounds: int = ROUNDS) -> Weights:
 
 def _scored(shared, current):
     """mapInArrow over (id, fold, text): sums over the head words, and the others with their numbers."""
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["row", "id", "fold", "n_tokens", "n_known", "base", "score", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,9 +354,13 @@ def _scored(shared, current):
         def flush() -> pa.RecordBatch:
             score()
             columns = [list(c) for c in zip(*done, strict=True)]
-            columns[7] = [[{"word": w, "times": n} for w, n in rare.items()] for rare in columns[7]]
+            rare = columns.pop()
             done.clear()
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            words, times = ([x for r in rare for x in get(r)] for get in (Counter.keys, Counter.values))
+            inner = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int32())], ["word", "times"])
+            lists = pa.ListArray.from_arrays(pa.array(ends), inner)
+            return pa.record_batch([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), lists], names)
 
         for batch in batches:
             size = 0
@@ -359,7 +369,7 @@ def _scored(shared, current):
                 done.append(doc)
                 row += 1
                 for at, features, words in model.parts(text.as_py()):
-                    doc[7].update(words[j] for j in np.flatnonzero(at < 0))
+                    doc[7].update([words[j] for j in np.flatnonzero(at < 0).tolist()])
                     held.append((doc, at, features))
                     count += len(at)
                     if count >= 8 * BATCH:

@@ -488,10 +488,10 @@ def test_model_is_a_distribution():
 @pytest.mark.parametrize("distinct", [1, 3, 60, 4000])
 def test_sums_of_rows(distinct):
     r = np.random.default_rng(distinct)
-    g, rows = r.normal(size=(500, 16)).astype(np.float32), r.integers(0, distinct, (500, 4)).astype(np.uint16)
+    g, rows = r.normal(size=(500, 16)).astype(np.float32), r.integers(0, distinct, (4, 500)).astype(np.uint16)
     want = np.zeros((distinct, 16))
     for f in range(4):
-        np.add.at(want, rows[:, f], g)
+        np.add.at(want, rows[f], g)
     to, total = maxent._row_sums(g, rows)
     assert to.tolist() == sorted(set(rows.ravel().tolist()))
     assert np.allclose(total, want[to], atol=1e-3)
