@@ -435,7 +435,7 @@ def _bucket_sort(width: int):
         mine = kind[owner] == 1
         owner, start = owner[mine], start[mine]
         first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (np.diff(start) > 1))) if len(owner) else np.array([], int)
-        last = np.append(first[1:], len(owner)) - 1
+        last = np.append(first, len(owner))[1:] - 1  # none where first has none
         of = owner[first]
         a, b = lo[of] + start[first], lo[of] + start[last] + width
         return pa.record_batch([pa.array(tk[of]), pa.array(th[of]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["tk", "th", "a", "b"])

@@ -787,6 +787,22 @@ def test_colliding_hashes_are_replaced(monkeypatch):
     assert {(o, i) for o, i in zip(*(x.tolist() for x in found), strict=True)} == {(k, i) for k, (c, at) in enumerate(zip(contexts, q, strict=True)) for i in range(min(at, len(c) - 12) + 1) if times[c[i : i + 12]] > 1}
 
 
+def test_blocks_of_contexts_without_a_repeat():
+    """A block whose windows all occur once gives no span, whatever other blocks give."""
+    names, kinds = zip(*suffix._CONTEXTS, strict=True)
+
+    def batch(rows):
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+
+    once = [(1, 7, i, i, 10 * i, 2, bytes([97 + i] * 12)) for i in range(5)]
+    twice = [(1, 8, i, i, 10 * i, 2, b"abcdefghijkl" + bytes([97 + i])) for i in range(2)]
+    solve = suffix._bucket_sort(12)
+    rows = lambda batches: sorted(tuple(r.values()) for b in solve(iter(batches)) for r in b.to_pylist())
+    assert rows([]) == rows([batch(once)]) == rows([batch(once[:1])]) == []
+    assert rows([batch([(2, 8, i, i, 0, 2, b"abcdefghijkl") for i in range(2)])]) == []
+    assert rows([batch(once + twice)]) == rows([batch(once), batch(twice)]) == [(0, 0, 0, 12), (1, 1, 10, 22)]
+
+
 def test_suffix_sort_orders_suffixes():
     data = np.frombuffer(prose(300, 1).encode(), np.uint8)
     at = np.sort(np.random.Generator(np.random.PCG64(1)).choice(len(data), 200, replace=False)).astype(np.int64)
