@@ -102,6 +102,35 @@ def test_neighbours_of_odd_vectors(spark):
     assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in expected.items()}
 
 
+def test_queries_are_not_copied_to_cells(spark, monkeypatch):
+    """All rows query many cells that prune nothing, in several sweeps: what is written stays near the queries times the tasks."""
+    monkeypatch.setattr(ann, "CELL", 8)
+    monkeypatch.setattr(ann, "ASKED", 100 * 8 * 24, raising=False)
+    r = np.random.Generator(np.random.PCG64(6))
+    v = r.standard_normal((600, 24))
+    v[300:310] = v[299]
+    v[400:420] = v[399] * np.arange(2, 22)[:, None]  # as near as each other, but not equal
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").repartition(3)
+    written = []
+    saved = ann.saved
+    monkeypatch.setattr(ann, "saved", lambda x: written.append(saved(x)) or written[-1])
+    got = {}
+    for q, rank, i, s in ann.neighbours(df, df).collect():
+        got.setdefault(q, []).append((rank, i, s))
+    rows = [t.count() for t in written if t.columns == ["q", "id", "mark", "score"]]
+    assert sum(rows) <= 6 * 600 * (1 + 4)  # 4 shuffle partitions, so at most 4 tasks a sweep
+    cos = v @ v.T / np.outer(*[np.sqrt((v * v).sum(axis=1))] * 2)
+    np.fill_diagonal(cos, -9)
+    hits = 0
+    for q in range(600):
+        found = sorted(got[q])
+        best = np.lexsort((np.arange(600), -cos[q].round(12)))[:5]
+        assert [f[0] for f in found] == [1, 2, 3, 4, 5] and all(abs(cos[q, i] - s) < 1e-12 for _, i, s in found)
+        hits += len({f[1] for f in found} & set(best.tolist()))
+    assert hits / 3000 >= 0.9
+    assert [f[1] for f in sorted(got[305])] == [299, 300, 301, 302, 303]
+
+
 # -- 2 ---------------------------------------------------------------------------
 
 BASE = {
