@@ -9,8 +9,8 @@ within l * TAU / 24 differing ones; its first two boxes agree, which is the
 bucket. Longer runs and the whole ring are tested inside the bucket; links that
 pass are checked against the shingles themselves.
 
-A bucket of up to SMALL rings sends all its links. A larger one sends spanning
-forests, the nearest links first. Where these leave texts of a family, which is
+A bucket of up to SMALL rings sends all its links. A larger one sends one
+spanning forest, of the nearest links. Where these leave texts of a family, which is
 all that meet in such buckets, in different classes, the shingle sets themselves
 settle it: the texts outside the family's largest class are compared with all
 others through an inverted index in each task, which gives only links that join
@@ -40,7 +40,7 @@ BOXES = 24
 TAU = 11
 BUDGETS = np.arange(1, BOXES + 1) * TAU // BOXES
 #: Buckets of so many rings send all their links, at most half as many for each ring;
-#: larger ones send a spanning forest of the links of up to each of these distances.
+#: larger ones send a spanning forest, of links of up to the first of these distances where they connect, then the next.
 SMALL, TIERS = 16, (2, 5, 8, TAU)
 #: Links of one text that are checked against one copy of its shingle set.
 _PART = 256
@@ -135,6 +135,24 @@ def _span(tags: np.ndarray, start: int, tau: int) -> np.ndarray:
     return np.array(edges, int).reshape(-1, 2)
 
 
+def _forest(tags: np.ndarray, start: int) -> np.ndarray:
+    """One spanning forest of a bucket's links: a link of more boxes only between what those of fewer leave apart."""
+    root, edges = list(range(len(tags))), []
+
+    def of(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for tau in TIERS:
+        for x, y in _span(tags, start, tau).tolist():
+            a, b = of(x), of(y)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                edges.append((x, y))
+    return np.array(edges, int).reshape(-1, 2)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of rows sorted by bucket, their first, in runs of whole buckets."""
     held: list[list[np.ndarray]] = []
@@ -160,9 +178,9 @@ def _sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over rows sorted by bucket: the links (a, b, -1) of each bucket, all of them or spanning forests.
+    """mapInArrow over rows sorted by bucket: the links (a, b, -1) of each bucket, all of them or a spanning forest.
 
-    Each ring of a bucket that sends forests gives a row (key, node, start) too.
+    Each ring of a bucket that sends a forest gives a row (key, node, start) too.
     """
     for key, node, start, *tags in _buckets(batches):
         first, sizes = _sizes(key)
@@ -172,10 +190,10 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, kind = [node[two]], [node[two + 1]], [np.full(len(two), -1, np.int32)]
         for s, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             own, at = tags[s : s + n], int(start[s])
-            for edges in [_pairs(own, at)] if n <= SMALL else [_span(own, at, tau) for tau in TIERS]:
-                a.append(node[edges[:, 0] + s])
-                b.append(node[edges[:, 1] + s])
-                kind.append(np.full(len(edges), -1, np.int32))
+            edges = _pairs(own, at) if n <= SMALL else _forest(own, at)
+            a.append(node[edges[:, 0] + s])
+            b.append(node[edges[:, 1] + s])
+            kind.append(np.full(len(edges), -1, np.int32))
             if n > SMALL:
                 a.append(key[s : s + n])
                 b.append(node[s : s + n])
@@ -278,7 +296,7 @@ def _checked(edges: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     A text with many links is dealt out in parts, each with a copy of its set.
     """
     many = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _PART).alias("parts")).filter("parts > 1")
-    dealt = edges.join(many, "a", "left").withColumn("part", F.pmod(F.hash("b"), F.coalesce("parts", F.lit(1))).cast("int"))
+    dealt = saved(edges.join(many, "a", "left").withColumn("part", F.pmod(F.hash("b"), F.coalesce("parts", F.lit(1))).cast("int")))
     heads = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a")
     both = dealt.join(heads, ["a", "part"]).join(sets.select(F.col("node").alias("b"), F.col("set").alias("other")), "b")
     return both.filter(_alike(share)(F.col("set"), F.col("other"))).select("a", "b")
@@ -306,7 +324,7 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
     label = saved(components(first))
     named = edges.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
     named = named.join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    apart = named.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    apart = saved(named.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
     links = saved(first.unionAll(_checked(apart, sets, share)))
     label = saved(components(links))
     if not members.isEmpty():

@@ -405,6 +405,30 @@ def test_large_buckets_stay_linked(spark):
     assert len(forest) == 174 and classes(forest.tolist()) == classes(rings._pairs(tags, 0).tolist())
 
 
+def test_a_large_bucket_sends_one_forest():
+    """Links at all distances: the nearest that connect the rings, one less than the rings of each class."""
+    r = np.random.default_rng(7)
+    tags = np.repeat(r.integers(0, 256, (5, rings.BOXES), np.uint8), 60, axis=0)
+    for row in tags:
+        row[r.integers(2, rings.BOXES, r.integers(0, 6))] ^= r.integers(1, 256, dtype=np.uint8)
+    columns = [np.zeros(300, np.int64), np.arange(300), np.zeros(300, np.int32), *np.ascontiguousarray(tags).view("<i8").T]
+    batch = pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], ["key", "node", "start", "t0", "t1", "t2"])
+    sent = [x for b in rings._linked(iter([batch])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+    def classes(edges):
+        label = list(range(300))
+        for _ in range(300):
+            before = list(label)
+            for x, y in edges:
+                label[x] = label[y] = min(label[x], label[y])
+            if label == before:
+                return label
+
+    links = [(a, b) for a, b, start in sent if start < 0]
+    assert classes(links) == classes(rings._pairs(tags, 0).tolist())
+    assert len(links) == 300 - len(set(classes(links))) and len(sent) == len(links) + 300
+
+
 def test_large_buckets_lose_no_link(spark):
     """160 texts of one template, each alike to one other only: most forest edges are refused."""
     r = random.Random(9)
