@@ -145,13 +145,18 @@ def _rows(features: np.ndarray, level: int, classes: np.ndarray) -> np.ndarray:
     return h.astype(np.uint16)
 
 
+#: Logarithms between which a float32 holds exponentials and sums of BRANCH of them.
+_EXP = 80.0
+
+
 def _softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials and their sums."""
+    """Exponentials and their sums; shifted by the greatest where they could leave the range of a float32."""
     z = np.take(weights, rows[0], axis=0)
     for row in rows[1:]:
         z += np.take(weights, row, axis=0)
     z += bias
-    z -= np.ascontiguousarray(z.T).max(axis=0)[:, None]
+    if not (z.max() < _EXP and z.min() > -_EXP):
+        z -= np.ascontiguousarray(z.T).max(axis=0)[:, None]
     np.exp(z, out=z)
     return z, z.sum(axis=1)
 
@@ -169,8 +174,9 @@ def _row_sums(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
     times = np.diff(np.append(first, len(at)))
     total = np.take(g, at[first], axis=0)
+    more = np.flatnonzero((times > 1) & (times <= _FEW))
     for k in range(1, _FEW):
-        more = np.flatnonzero((times > k) & (times <= _FEW))
+        more = more[times[more] > k]
         total[more] += np.take(g, at[first[more] + k], axis=0)
     if len(often := np.flatnonzero(times > _FEW)):
         own = np.take(g, at[np.repeat(times > _FEW, times)], axis=0)
@@ -212,13 +218,15 @@ def update(model: Model, weights: Weights, squares: Weights, features: np.ndarra
         g /= sums[:, None]
         g[np.arange(len(at)), child] -= 1
         to, total = _row_sums(g, rows)
-        square = np.take(squares[level], to, axis=0)
-        square += total * total
+        square = total * total
+        square += np.take(squares[level], to, axis=0)
         squares[level][to] = square
         square += 1e-3
         total *= RATE
         total /= np.sqrt(square, out=square)
-        weights[level][to] = np.take(weights[level], to, axis=0) - total
+        weight = np.take(weights[level], to, axis=0, out=square, mode="clip")
+        weight -= total
+        weights[level][to] = weight
 
 
 _PIECE = 1 << 12  # rows of weights sent as one record

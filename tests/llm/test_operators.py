@@ -550,6 +550,21 @@ def test_sums_of_rows(distinct):
     assert np.allclose(total, want[to], atol=1e-3)
 
 
+def test_exponentials_of_any_size():
+    """Ordinary logarithms aren't shifted, which takes a pass over all; those beyond the range of a float32 are."""
+    r = np.random.default_rng(2)
+    bias, rows = r.normal(size=(50, 16)).astype(np.float32), r.integers(0, 9, (4, 50)).astype(np.uint16)
+    for scale in (1, 30, 300, 3000):
+        weights = (scale * r.normal(size=(9, 16))).astype(np.float32)
+        z, sums = maxent._softmax(bias, weights, rows)
+        logs = bias.astype(float) + weights.astype(float)[rows].sum(axis=0)
+        most = logs.max(axis=1, keepdims=True)
+        want = np.exp(logs - most) / np.exp(logs - most).sum(axis=1, keepdims=True)
+        assert np.isfinite(z).all() and np.isfinite(sums).all() and (sums > 0).all()
+        assert np.allclose(z / sums[:, None], want, rtol=0.02, atol=1e-6)
+        assert scale > 1 or np.allclose(z, np.exp(logs), rtol=1e-4)
+
+
 def test_update_lowers_the_loss():
     """A step moves against the gradient, which is taken by differences here."""
     model = maxent.Model([b"w%d" % i for i in range(50)], np.arange(150, 100, -1), 7000, 60)
