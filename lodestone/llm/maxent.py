@@ -89,6 +89,25 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def most_frequent(counts: DataFrame, head: int) -> list[tuple[bytes, int]]:
+    """The head most frequent words of (word, n) with their counts, ties by word.
+
+    The least count among them is found first, from how many words have each count, so
+    partitions send the words that are wanted instead of head each; words of that count
+    itself are ordered in Spark.
+    """
+    least, room = 0, head
+    for n, words in sorted(counts.groupBy("n").agg(F.count(F.lit(1))).collect(), reverse=True):
+        if words > room:
+            least = n
+            break
+        room -= words
+    rows = counts.filter(F.col("n") > least).collect()
+    if least and room:
+        rows += counts.filter(F.col("n") == least).orderBy("word").limit(room).collect()
+    return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 class Model:
     """The dictionary of frequent words, and what the weights start from."""
 
@@ -112,7 +131,7 @@ class Model:
         """Head index of each token (-1: none), and its hash as a context."""
         get = self.index.get
         at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-        context = self.context[at] if len(self.context) else np.zeros(len(at), _U)
+        context = np.take(self.context, at, mode="wrap") if len(self.context) else np.zeros(len(at), _U)
         rare = np.flatnonzero(at < 0)
         context[rare] = [zlib.crc32(words[i]) for i in rare.tolist()]
         return at, context
@@ -133,7 +152,12 @@ class Model:
 def context_features(line: np.ndarray) -> np.ndarray:
     """(tokens, 4) hashes for the tokens after the first three: the word before, the pair before, skips over one and two words."""
     one, two, three = line[2:-1], line[1:-2], line[:-3]
-    return np.stack([one * _ODD[0], one * _ODD[1] + two * _ODD[2], two * _ODD[3], three * _ODD[4]], axis=1)
+    out = np.empty((len(one), 4), _U)
+    np.multiply(one, _ODD[0], out=out[:, 0])
+    np.add(one * _ODD[1], two * _ODD[2], out=out[:, 1])
+    np.multiply(two, _ODD[3], out=out[:, 2])
+    np.multiply(three, _ODD[4], out=out[:, 3])
+    return out
 
 
 def _rows(features: np.ndarray, level: int, classes: np.ndarray) -> np.ndarray:
@@ -158,7 +182,12 @@ def _softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[n
     if not (z.max() < _EXP and z.min() > -_EXP):
         z -= np.ascontiguousarray(z.T).max(axis=0)[:, None]
     np.exp(z, out=z)
-    return z, z.sum(axis=1)
+    return z, np.einsum("ij->i", z)
+
+
+def _picked(children: np.ndarray) -> np.ndarray:
+    """Where the children stand in the raveled values of their positions."""
+    return np.arange(0, BRANCH * len(children), BRANCH) + children
 
 
 #: Rows that occur up to so often in a batch are summed occurrence by occurrence, the others one by one.
@@ -174,10 +203,12 @@ def _row_sums(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
     times = np.diff(np.append(first, len(at)))
     total = np.take(g, at[first], axis=0)
-    more = np.flatnonzero((times > 1) & (times <= _FEW))
-    for k in range(1, _FEW):
-        more = more[times[more] > k]
-        total[more] += np.take(g, at[first[more] + k], axis=0)
+    for n in range(2, _FEW + 1):
+        few = np.flatnonzero(times == n)
+        own = np.take(total, few, axis=0)
+        for k in range(1, n):
+            own += np.take(g, at[first[few] + k], axis=0)
+        total[few] = own
     if len(often := np.flatnonzero(times > _FEW)):
         own = np.take(g, at[np.repeat(times > _FEW, times)], axis=0)
         total[often] = np.add.reduceat(own, np.cumsum(times[often]) - times[often], axis=0)
@@ -194,10 +225,12 @@ def _walk(model: Model, features: np.ndarray, targets: np.ndarray) -> Iterator[t
         if not len(at):
             return
         if level == 1:
-            features = features[:, at]
-        child = targets[at] // width
+            features, targets = np.take(features, at, axis=1), targets[at]
+        child = targets // width
         parent = child // BRANCH
-        yield level, at, model.biases[level][parent], _rows(features, level, parent), child % BRANCH
+        # The root has one row of biases, for all positions.
+        bias = np.take(model.biases[level], parent, axis=0) if level else model.biases[0]
+        yield level, at, bias, _rows(features, level, parent), child % BRANCH
 
 
 def log_probabilities(model: Model, weights: Weights, features: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -207,26 +240,32 @@ def log_probabilities(model: Model, weights: Weights, features: np.ndarray, targ
         part = out[a : a + BATCH]
         for level, at, bias, rows, child in _walk(model, features[a : a + BATCH], targets[a : a + BATCH]):
             z, sums = _softmax(bias, weights[level], rows)
-            part[at] += np.log(z[np.arange(len(at)), child] / sums)
+            part[at] += np.log(np.take(z, _picked(child)) / sums)
     return out
 
 
+#: Rows whose sums, squares and weights an update has at hand at once: they fit a core's cache.
+_CHUNK = 1 << 11
+
+
 def update(model: Model, weights: Weights, squares: Weights, features: np.ndarray, targets: np.ndarray) -> None:
     """One AdaGrad update of all levels from a batch of positions: observed minus expected, summed per row."""
-    for level, at, bias, rows, child in _walk(model, features, targets):
+    for level, _, bias, rows, child in _walk(model, features, targets):
         g, sums = _softmax(bias, weights[level], rows)
         g /= sums[:, None]
-        g[np.arange(len(at)), child] -= 1
-        to, total = _row_sums(g, rows)
-        square = total * total
-        square += np.take(squares[level], to, axis=0)
-        squares[level][to] = square
-        square += 1e-3
-        total *= RATE
-        total /= np.sqrt(square, out=square)
-        weight = np.take(weights[level], to, axis=0, out=square, mode="clip")
-        weight -= total
-        weights[level][to] = weight
+        g.ravel()[_picked(child)] -= 1
+        all_to, totals = _row_sums(g, rows)
+        for a in range(0, len(all_to), _CHUNK):
+            to, total = all_to[a : a + _CHUNK], totals[a : a + _CHUNK]
+            square = total * total
+            square += np.take(squares[level], to, axis=0)
+            squares[level][to] = square
+            square += 1e-3
+            total *= RATE
+            total /= np.sqrt(square, out=square)
+            weight = np.take(weights[level], to, axis=0, out=square, mode="clip")
+            weight -= total
+            weights[level][to] = weight
 
 
 _PIECE = 1 << 12  # rows of weights sent as one record
@@ -247,12 +286,13 @@ def _trained(shared, current):
             nonlocal held, count
             if count < max(least, 1):
                 return
-            features, targets = (np.concatenate(x) for x in zip(*held, strict=True))
+            features, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            targets = model.targets(at)
             a = 0
             while count - a >= least and a < count:
                 update(model, weights, squares, features[a : a + BATCH], targets[a : a + BATCH])
                 a += BATCH
-            held, count = [(features[a:], targets[a:])], max(count - a, 0)
+            held, count = [(features[a:], at[a:])], max(count - a, 0)
 
         def done() -> Iterator[pa.RecordBatch]:
             if now is None:
@@ -273,7 +313,7 @@ def _trained(shared, current):
                     now, held, count = shard, [], 0
                     weights, squares = [w.copy() for w in base], [np.zeros_like(w) for w in base]
                 for at, features, _ in model.parts(text.as_py()):
-                    held.append((features, model.targets(at)))
+                    held.append((features, at))
                     count += len(at)
                     learn(BATCH)
         yield from done()
@@ -347,16 +387,18 @@ def _scored(shared, current):
             nonlocal held, count
             if not held:
                 return
-            targets = [model.targets(at) for _, at, _ in held]
-            logs = log_probabilities(model, weights, np.concatenate([f for _, _, f in held]), np.concatenate(targets)) / np.log(10)
-            first = 0
-            for doc, at, _ in held:
-                known = at[at >= 0]
-                doc[3] += len(at)
-                doc[4] += len(known)
-                doc[5] += float(base_of[known].sum())
-                doc[6] += float(logs[first : first + len(at)].sum() + tail_of[known[known >= model.size]].sum())
-                first += len(at)
+            at = np.concatenate([at for _, at, _ in held])
+            logs = log_probabilities(model, weights, np.concatenate([f for _, _, f in held]), model.targets(at)) / np.log(10)
+            tokens = [len(at) for _, at, _ in held]
+            of = np.repeat(np.arange(len(held)), tokens)
+            in_tail = np.flatnonzero(at >= model.size)
+            logs[in_tail] += np.take(tail_of, at[in_tail])
+            known = np.flatnonzero(at >= 0)
+            summed = lambda x, which: np.bincount(of[which], x, len(held)).tolist()
+            sums = zip(held, tokens, summed(None, known), summed(np.take(base_of, at[known]), known), summed(logs, slice(None)), strict=True)
+            for (doc, _, _), *found in sums:
+                for i, x in enumerate(found):
+                    doc[3 + i] += x
             held, count = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -401,8 +443,8 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", head: i
     training = rows.filter(F.col("fold") != HELD_OUT).select("id", "t")
     counts = saved(training.select("t").mapInArrow(releasing(_counted), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
-    model = Model([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64), total, distinct)
+    top = most_frequent(counts, head)
+    model = Model([w for w, _ in top], np.array([n for _, n in top], np.int64), total, distinct)
     weights = train(training, model, rounds)
     sc = spark.sparkContext
     schema = "row bigint, id bigint, fold int, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word:binary,times:int>>"

@@ -585,6 +585,40 @@ def test_update_lowers_the_loss():
     assert maxent.log_probabilities(model, weights, features, targets).sum() > before
 
 
+def test_update_in_chunks(monkeypatch):
+    """Rows updated a few at a time become what one plain AdaGrad step over all positions makes of them."""
+    monkeypatch.setattr(maxent, "_CHUNK", 7)
+    model = maxent.Model([b"w%d" % i for i in range(50)], np.arange(150, 100, -1), 7000, 60)
+    r = np.random.Generator(np.random.PCG64(4))
+    features, targets = r.integers(0, 1 << 63, (90, 4), np.uint64)[r.integers(0, 40, 90)], r.integers(0, 50, 90)
+    weights, squares = ([r.normal(0, 0.2, w.shape).astype(np.float32) ** k for w in maxent.zeros()] for k in (1, 2))
+    want = [(w.astype(float), s.astype(float)) for w, s in zip(weights, squares, strict=True)]
+    for level, at, _, rows, child in maxent._walk(model, features, targets):
+        parent = targets[at] // maxent.BRANCH ** (maxent.LEVELS - 1 - level) // maxent.BRANCH
+        logs = model.biases[level][parent] + want[level][0][rows].sum(axis=0)
+        g = np.exp(logs) / np.exp(logs).sum(axis=1, keepdims=True)
+        g[np.arange(len(at)), child] -= 1
+        sums = np.zeros_like(want[level][0])
+        for row in rows:
+            np.add.at(sums, row, g)
+        want[level][1][:] += sums**2
+        want[level][0][:] -= maxent.RATE * sums / np.sqrt(want[level][1] + 1e-3)
+    maxent.update(model, weights, squares, features, targets)
+    for (w, s), weight, square in zip(want, weights, squares, strict=True):
+        assert np.allclose(weight, w, rtol=1e-4, atol=1e-5) and np.allclose(square, s, rtol=1e-4, atol=1e-5)
+
+
+def test_most_frequent_words(spark):
+    """The words by count, ties by word, and no partition sends more rows than are wanted of all."""
+    r = random.Random(8)
+    words = [(bytes([r.randrange(256), i % 256, i // 256]), r.choice([1, 1, 1, 2, 2, 3, 7, 9])) for i in range(400)]
+    counts = spark.createDataFrame(words, "word binary, n bigint").repartition(5)
+    want = sorted(words, key=lambda x: (-x[1], x[0]))
+    for head in (0, 1, 30, 399, 400, 1000):
+        assert maxent.most_frequent(counts, head) == want[:head]
+    assert maxent.most_frequent(counts.limit(0), 5) == []
+
+
 class Held:
     """A broadcast of a value in this process."""
 
