@@ -609,7 +609,7 @@ def test_update_in_chunks(monkeypatch):
 
 
 def test_most_frequent_words(spark):
-    """The words by count, ties by word, and no partition sends more rows than are wanted of all."""
+    """The words by count, ties by word, wherever the head ends."""
     r = random.Random(8)
     words = [(bytes([r.randrange(256), i % 256, i // 256]), r.choice([1, 1, 1, 2, 2, 3, 7, 9])) for i in range(400)]
     counts = spark.createDataFrame(words, "word binary, n bigint").repartition(5)
