@@ -38,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import releasing, saved, small_batches, whole
+from lodestone.llm.common import release, releasing, saved, small_batches, whole
 
 WIDTH = 200
 GRAM = 32
 #: Bytes of text, and contexts, handled at a time.
 BLOCK_BYTES = 1 << 18
 BLOCK_CONTEXTS = 1 << 12
+#: Bytes that are hashed at a time: an index and its values take 8 bytes for each.
+_STEP = 1 << 16
 #: Different segments of one anchor that a task sorts; beyond, windows are counted.
 BUCKET = 1 << 13
 
@@ -81,7 +83,12 @@ class Rolling:
         """Running hash of data; place, where given, is each byte's place in its own text."""
         self.grow(len(data) if place is None else int(place.max(initial=0)) + 1)
         out = np.zeros(len(data) + 1, _U)
-        np.cumsum(self.table[data] * (self.up[: len(data)] if place is None else self.up[place]), out=out[1:])
+        for at in range(0, len(data), _STEP):
+            end = min(at + _STEP, len(data))
+            part = self.table[data[at:end]]
+            part *= self.up[at:end] if place is None else self.up[place[at:end]]
+            part[:1] += out[at : at + 1]
+            np.cumsum(part, out=out[at + 1 : end + 1])
         return out
 
 
@@ -279,11 +286,11 @@ class Suffixes:
         self.data, self.at, self.end, self.group, self.limit = data, at, end, group, limit
         self.roller = _roller(seed)
         self.prefix = self.roller.prefix(data, place)
-        self.down = self.roller.down[: len(data) + 1] if place is None else self.roller.down[np.append(place, 0)]
+        self.place = None if place is None else np.append(place, place.dtype.type(0))
 
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of the bytes a to b of one text; not yet mixed, so that equal bytes alone decide."""
-        return (self.prefix[b] - self.prefix[a]) * self.down[a]
+        return (self.prefix[b] - self.prefix[a]) * self.roller.down[a if self.place is None else self.place[a]]
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Common extension of suffixes x and y, up to limit: binary search over hashes of prefixes."""
@@ -366,7 +373,8 @@ def repeated_windows(contexts: list[bytes], q: np.ndarray, group: np.ndarray, wi
     ends = np.cumsum(sizes)
     starts = ends - sizes
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    place = (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.int32)
+    ramp = np.arange(sizes.max(), dtype=np.int32)
+    place = np.concatenate([ramp[:n] for n in sizes.tolist()])
     anchor = starts + q
     seed = 2
     while True:
@@ -444,16 +452,20 @@ def _bucket_sort(width: int):
         held: list[pa.RecordBatch] = []
         count = 0
         for batch in batches:
-            held.append(batch)
-            count += len(batch)
-            if count >= BLOCK_CONTEXTS:
-                table = pa.Table.from_batches(held)
-                core = table.column(1).to_numpy()
-                whole_ = int(np.searchsorted(core == core[-1], True))
-                if whole_:
-                    yield solve(table.slice(0, whole_))
-                    held = table.slice(whole_).to_batches()
-                    count = len(table) - whole_
+            at = 0
+            while at < len(batch):  # a batch may hold several blocks
+                piece = batch.slice(at, max(BLOCK_CONTEXTS - count, BLOCK_CONTEXTS >> 3))
+                held.append(piece)
+                at += len(piece)
+                count += len(piece)
+                if count >= BLOCK_CONTEXTS:
+                    table = pa.Table.from_batches(held)
+                    core = table.column(1).to_numpy()
+                    whole_ = int(np.searchsorted(core == core[-1], True))
+                    if whole_:
+                        yield solve(table.slice(0, whole_))
+                        held = table.slice(whole_).to_batches()
+                        count = len(table) - whole_
         if count:
             yield solve(pa.Table.from_batches(held))
 
@@ -520,46 +532,56 @@ def _removed(data: bytes, spans: list | None) -> tuple[bytes, int, int]:
     return b"".join(kept), gone, runs
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """docs with __kept (the remaining bytes), __removed (bytes) and __runs (maximal removed runs).
+def _places(spans: pa.Scalar) -> list[tuple[int, int]] | None:
+    return [(x["a"], x["b"]) for x in spans.as_py()] if spans.is_valid else None
+
+
+def _with_spans(docs: DataFrame, text: str, width: int = WIDTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
+    """docs with __spans, null where nothing goes.
 
-    Rows keep all their columns. Shuffles: a row of 60 bytes for each ~85 bytes
-    of text, the texts once to fetch contexts and once to drop the spans.
+    Shuffles: a row of 60 bytes for each ~85 bytes of text, the texts once to
+    fetch contexts and once to meet their spans.
     """
     small_batches(docs.sparkSession)
     named = _named(whole(text))
     spans = repeated_spans(docs.select(whole(text).cast("binary").alias("__data"), *(c.alias(n) for n, c in named.items())), width, gram, bucket)
     spans = saved(spans.groupBy("tk", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
     spans = spans.select(F.col("tk").alias("__k"), F.col("th").alias("__h"), F.col("spans").alias("__spans"))
-    joined = docs.withColumns(named).join(spans, (F.col("__tk") == F.col("__k")) & (F.col("__th") == F.col("__h")), "left")
+    return docs.withColumns(named).join(spans, (F.col("__tk") == F.col("__k")) & (F.col("__th") == F.col("__h")), "left")
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs with __kept (the remaining bytes), __removed (bytes) and __runs (maximal removed runs).
+
+    Rows keep all their columns. Options: width, gram, bucket.
+    """
 
     @F.arrow_udf("struct<kept: binary, removed: bigint, runs: bigint>")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        made = []
-        for t, s in zip(texts, spans, strict=True):
-            places = [(x["a"], x["b"]) for x in s.as_py()] if s.is_valid else None
-            made.append(_removed(t.as_py().encode(), places))
+        made = [_removed(t.as_py().encode(), _places(s)) for t, s in zip(texts, spans, strict=True)]
         columns = [*zip(*made, strict=True)] if made else [(), (), ()]
         return pa.StructArray.from_arrays(
             [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())],
             ["kept", "removed", "runs"],
         )
 
-    out = joined.withColumn("__cut", cut(whole(text), F.col("__spans")))
+    out = _with_spans(docs, text, **options).withColumn("__cut", cut(whole(text), F.col("__spans")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__cut.kept").alias("__kept"), F.col("__cut.removed").alias("__removed"), F.col("__cut.runs").alias("__runs"))
 
 
 def without_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with the repeats dropped from the text; code points cut in two at an edge go as a whole."""
-    small_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
-    def decode(kept: pa.Array) -> pa.Array:
-        return pa.array([k.as_py().decode("utf-8", "ignore") for k in kept], pa.string())
-
-    out = remove_repeats(docs, text, **options)
-    made = F.when(F.col("__removed") > 0, decode("__kept")).otherwise(F.col(f"`{text}`"))
-    return out.withColumn(text, made).select(docs.columns)
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        made = [_removed(t.as_py().encode(), _places(s))[0].decode("utf-8", "ignore") if s.is_valid else None for t, s in zip(texts, spans, strict=True)]
+        made = pa.array(made, pa.string())
+        release()
+        return made
+
+    # One function cuts and decodes: of two, each would have its own workers, and the texts would pass through both.
+    made = F.when(F.col("__spans").isNotNull(), cut(whole(text), F.col("__spans"))).otherwise(F.col(f"`{text}`"))
+    return _with_spans(docs, text, **options).withColumn(text, made).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -905,6 +906,53 @@ def test_blocks_of_contexts_without_a_repeat():
     assert rows([batch(once + twice)]) == rows([batch(once), batch(twice)]) == [(0, 0, 0, 12), (1, 1, 10, 22)]
 
 
+def test_a_batch_of_many_contexts_is_solved_in_blocks(monkeypatch):
+    """A batch that holds several blocks is cut at anchors; an anchor larger than a block stays whole."""
+    names, kinds = zip(*suffix._CONTEXTS, strict=True)
+    cores = sorted([k // 5 for k in range(200)] + [20] * 45)
+    r = random.Random(7)
+    rows = [(1, core, i, i, 10 * i, 2, bytes(r.choices(b"ab", k=14))) for i, core in enumerate(cores)]
+    batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+    solved, solve = [], suffix.repeated_windows
+    monkeypatch.setattr(suffix, "repeated_windows", lambda contexts, *a: (solved.append(len(contexts)), solve(contexts, *a))[1])
+
+    def spans(block):
+        monkeypatch.setattr(suffix, "BLOCK_CONTEXTS", block)
+        solved.clear()
+        return sorted(tuple(x.values()) for b in suffix._bucket_sort(8)(iter([batch])) for x in b.to_pylist())
+
+    whole = spans(1000)
+    assert whole and solved == [245]
+    assert spans(16) == whole and sum(solved) == 245
+    assert sorted(solved)[-1] == 50 and sorted(solved)[-2] <= 16
+
+
+def test_hashes_of_contexts_take_few_bytes():
+    """Arrays of 8 bytes for each byte of the contexts are made once, not for each step of the hash."""
+    r = np.random.Generator(np.random.PCG64(4))
+    contexts = [x.tobytes() for x in r.integers(97, 123, (4000, 400), np.uint8)]
+    contexts[1] = contexts[0]
+    group = np.repeat(np.arange(500), 8)
+    tracemalloc.start()
+    try:
+        owner, _ = suffix.repeated_windows(contexts, np.full(4000, 100), group, 200)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert owner.tolist() == [0] * 101 + [1] * 101
+    assert most < 24 * sum(map(len, contexts))
+
+
+def test_repeats_are_dropped_by_one_python_function(spark):
+    """The texts go to Python once for the cut; code points cut in two go as a whole, missing texts stay missing."""
+    passage = "é" * 30
+    docs = docs_of(spark, ["a" + passage, passage + "b", None, "", "c" * 15])
+    out = suffix.without_repeats(docs, width=21, gram=8)
+    assert out.columns == docs.columns
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {x["doc_id"]: x["text"] for x in out.collect()} == {0: "a", 1: "b", 2: None, 3: "", 4: "c" * 15}
+
+
 def test_suffix_sort_orders_suffixes():
     data = np.frombuffer(prose(300, 1).encode(), np.uint8)
     at = np.sort(np.random.Generator(np.random.PCG64(1)).choice(len(data), 200, replace=False)).astype(np.int64)
