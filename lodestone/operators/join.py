@@ -7,11 +7,18 @@ from collections.abc import Mapping
 from functools import reduce
 from typing import Any
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.plans.frame import Frame
 from lodestone.plans.order import HIDDEN, hidden, quoted
-from lodestone.types import LatticeError, common, spark_name
+from lodestone.types import DOUBLE, LatticeError, common, spark_name
+
+#: Shares of a key's left rows, and tasks, for each core in joins of many to many.
+SHARES_A_CORE, TASKS_A_CORE = 4, 8
+#: Cores to plan for at least, as executors may join after the plan is built.
+LEAST_CORES = 8
 
 
 def join_keys(x: Frame, y: Frame, by: Any) -> list[tuple[str, str]]:
@@ -33,7 +40,34 @@ def join_keys(x: Frame, y: Frame, by: Any) -> list[tuple[str, str]]:
     return pairs
 
 
-def join(x: Frame, y: Frame, how: str, by: Any, suffix: tuple[str, str]) -> Frame:
+def _dealt(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column, str]]) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides in even tasks: left rows by key and a share, right rows once for each share.
+
+    The share is a hash of the row, so that a task that runs again makes the
+    same rows. Spark sizes tasks by what they read, which says nothing of what
+    they make here, so their number is given. Sorted and merged, as a task then
+    holds no more than the right rows of a key, and may spill them. Doubles are
+    compared as text, since Spark would deal them out again to normalize them.
+    """
+    cores = max(LEAST_CORES, left.sparkSession.sparkContext.defaultParallelism)
+    names = [(f"{HIDDEN}j{i}", f"{HIDDEN}yj{i}") for i in range(len(keys) + 1)]
+
+    def made(col: Column, kind: str) -> Column:
+        return F.when(col == 0, F.lit(0.0)).otherwise(col).cast("string") if kind == DOUBLE else col
+
+    plain = [quoted(f.name) for f in left.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    shares = SHARES_A_CORE * cores
+    lefts = [made(a, kind) for a, _, kind in keys] + [F.pmod(F.xxhash64(*plain), F.lit(shares)).cast("int")]
+    rights = [made(b, kind) for _, b, kind in keys] + [F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))]
+    left = left.select("*", *(col.alias(n) for col, (n, _) in zip(lefts, names, strict=True)))
+    right = right.select("*", *(col.alias(n) for col, (_, n) in zip(rights, names, strict=True)))
+    left = left.repartition(TASKS_A_CORE * cores, *(n for n, _ in names))
+    right = right.repartition(TASKS_A_CORE * cores, *(n for _, n in names))
+    return left, right.hint("merge"), reduce(lambda p, q: p & q, [quoted(a) == quoted(b) for a, b in names])
+
+
+def join(x: Frame, y: Frame, how: str, by: Any, suffix: tuple[str, str], many: bool = False) -> Frame:
+    """many: keys that many rows of both sides have are dealt out to all cores."""
     pairs = join_keys(x, y, by)
     xk, yk = x.kinds, y.kinds
     kinds = []
@@ -49,10 +83,10 @@ def join(x: Frame, y: Frame, how: str, by: Any, suffix: tuple[str, str]) -> Fram
     def cast(col, have: str, want: str):
         return col if have == want else col.cast(spark_name(want))
 
-    on = reduce(
-        lambda p, q: p & q,
-        [cast(quoted(a), xk[a], k) == cast(quoted(temp[b]), yk[b], k) for (a, b), k in zip(pairs, kinds, strict=True)],
-    )
+    keys = [(cast(quoted(a), xk[a], k), cast(quoted(temp[b]), yk[b], k), k) for (a, b), k in zip(pairs, kinds, strict=True)]
+    on = reduce(lambda p, q: p & q, [a == b for a, b, _ in keys])
+    if many:
+        left, right, on = _dealt(left, right, keys)
     if how in ("semi", "anti"):
         return x._with(left.join(right, on, f"left_{how}"))
     joined = left.join(right, on, {"full": "full_outer"}.get(how, how))
@@ -73,5 +107,5 @@ def join(x: Frame, y: Frame, how: str, by: Any, suffix: tuple[str, str]) -> Fram
     if len(set(names)) < len(names):
         raise ValueError("join: duplicate column names; choose other suffixes")
     ordered = how in ("inner", "left")
-    df = joined.select(*out, *(map(quoted, hidden(left)) if ordered else ()))
+    df = joined.select(*out, *(map(quoted, hidden(x._df)) if ordered else ()))
     return x._with(df, order=x.order if ordered else (), arranged=x.arranged and ordered)

@@ -341,7 +341,7 @@ def join_coerce(t):
 @_query("SELECT CAST(c_nationkey AS BIGINT) AS nation, c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def join_m2m(t):
     x = t("customer").select("c_custkey", nation="c_nationkey").relocate("nation")
-    return x.inner_join(t("supplier").select("s_suppkey", nation="s_nationkey"), "nation")
+    return x.inner_join(t("supplier").select("s_suppkey", nation="s_nationkey"), "nation", many=True)
 
 
 @_query("SELECT CAST(n_regionkey AS BIGINT) AS regionkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -258,16 +258,18 @@ class Frame:
 
     # -- joins ---------------------------------------------------------------
 
-    def _join(self, other: Frame, how: str, by: Any, suffix: tuple[str, str]) -> Frame:
+    def _join(self, other: Frame, how: str, by: Any, suffix: tuple[str, str], many: bool = False) -> Frame:
         from lodestone.operators.join import join
 
-        return join(self, other, how, by, suffix)
+        return join(self, other, how, by, suffix, many)
 
-    def inner_join(self, other: Frame, by: Any = None, suffix: tuple[str, str] = (".x", ".y")) -> Frame:
-        return self._join(other, "inner", by, suffix)
+    def inner_join(self, other: Frame, by: Any = None, suffix: tuple[str, str] = (".x", ".y"), many: bool = False) -> Frame:
+        """many=True if many rows of both sides share a key: the result is then made evenly on all cores."""
+        return self._join(other, "inner", by, suffix, many)
 
-    def left_join(self, other: Frame, by: Any = None, suffix: tuple[str, str] = (".x", ".y")) -> Frame:
-        return self._join(other, "left", by, suffix)
+    def left_join(self, other: Frame, by: Any = None, suffix: tuple[str, str] = (".x", ".y"), many: bool = False) -> Frame:
+        """many as in inner_join."""
+        return self._join(other, "left", by, suffix, many)
 
     def right_join(self, other: Frame, by: Any = None, suffix: tuple[str, str] = (".x", ".y")) -> Frame:
         return self._join(other, "right", by, suffix)

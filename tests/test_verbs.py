@@ -4,6 +4,7 @@ import math
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone import (
     NA, across, all_of, any_of, bind_cols, bind_rows, c, contains, cols_between, cummax, cummean, cummin, cumsum,
@@ -11,7 +12,9 @@ from lodestone import (
     min_, n, nchar, rank, row_number, starts_with, substr, sum_, where,
 )
 from lodestone.operators import window
+from lodestone.plans import catalog
 from lodestone.types import LatticeError, common
+from tests.conftest import SF
 
 
 @pytest.fixture(scope="module")
@@ -184,3 +187,18 @@ def test_results(t):
     assert x.count("b", sort=True).columns == ["b", "n"]
     out = x.group_by("b").reframe(lambda p: {"k": [0, 1]}, "k bigint")
     assert sorted(values(out)) == [("x", 0), ("x", 1), ("y", 0), ("y", 1)]
+
+
+def test_join_of_many_to_many_is_dealt_out(spark):
+    """Few keys, one of them of most rows: the rows are those of the plain join, and no task makes most of them."""
+    x = from_pandas(spark, pd.DataFrame({"k": [i % 2 * (i % 3) for i in range(1200)], "v": range(1200)}))
+    y = from_pandas(spark, pd.DataFrame({"k": [i % 3 for i in range(30)], "w": range(30)}))
+    x, y = x.mutate(k=c.k * 1.0), y.filter(c.k < 2)
+    for how in ("inner_join", "left_join"):
+        plain, dealt = (getattr(x, how)(y, "k", many=many) for many in (False, True))
+        got = dealt.to_df().groupBy(F.spark_partition_id()).count().collect()
+        assert max(r[1] for r in got) < sum(r[1] for r in got) / 8
+        assert dealt.columns == plain.columns
+        assert sorted(values(dealt), key=str) == sorted(values(plain), key=str)
+    got = catalog.QUERIES["join_m2m"](spark, SF)
+    assert "SortMergeJoin" in got._jdf.queryExecution().toString() and len(got.columns) == 3
