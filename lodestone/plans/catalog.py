@@ -267,12 +267,15 @@ def distinct_keep_all(t):
 @_query("""SELECT o_orderpriority, k, v FROM (SELECT o_orderpriority, CAST(row_number() OVER w AS BIGINT) AS k, o_totalprice AS v FROM orders
     WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)) WHERE k <= 5""")
 def reframe_sorted(t):
+    def five(pdf):
+        return pdf.sort_values(["o_totalprice", "o_orderkey"], ascending=[False, True]).head(5)
+
     def top(pdf):
-        best = pdf.sort_values(["o_totalprice", "o_orderkey"], ascending=[False, True]).head(5)
+        best = five(pdf)
         return {"k": range(1, len(best) + 1), "v": best["o_totalprice"].to_numpy()}
 
     x = t("orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
-    return x.group_by("o_orderpriority").reframe(top, "k bigint, v double")
+    return x.group_by("o_orderpriority").reframe(top, "k bigint, v double", partial=five)
 
 
 # -- joins -------------------------------------------------------------------------

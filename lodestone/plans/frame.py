@@ -251,10 +251,10 @@ class Frame:
 
         return distinct(self, items, keep_all)
 
-    def reframe(self, fn: Callable, schema: str) -> Frame:
+    def reframe(self, fn: Callable, schema: str, partial: Callable | None = None) -> Frame:
         from lodestone.operators.aggregate import reframe
 
-        return reframe(self, fn, schema)
+        return reframe(self, fn, schema, partial)
 
     # -- joins ---------------------------------------------------------------
 

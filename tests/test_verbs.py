@@ -11,7 +11,7 @@ from lodestone import (
     dense_rank, desc, ends_with, everything, from_pandas, grepl, is_na, lag, last_col, lead, lit, matches, max_, mean,
     min_, n, nchar, rank, row_number, starts_with, substr, sum_, where,
 )
-from lodestone.operators import window
+from lodestone.operators import aggregate, window
 from lodestone.plans import catalog
 from lodestone.types import LatticeError, common
 from tests.conftest import SF
@@ -202,3 +202,39 @@ def test_join_of_many_to_many_is_dealt_out(spark):
         assert sorted(values(dealt), key=str) == sorted(values(plain), key=str)
     got = catalog.QUERIES["join_m2m"](spark, SF)
     assert "SortMergeJoin" in got._jdf.queryExecution().toString() and len(got.columns) == 3
+
+
+@pytest.mark.parametrize("held", [50_000, 10])
+def test_reframe_of_parts(spark, monkeypatch, held):
+    """Tasks cut their rows first: fn gets few of a large group, and gives what it gives for all."""
+    monkeypatch.setattr(aggregate, "HELD_ROWS", held)
+    monkeypatch.setattr(aggregate, "BATCHES", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    data = pd.DataFrame({"g": ["a", "b", None, "a"] * 1000, "v": [float(i * 7919 % 4001) for i in range(4000)], "i": range(4000)})
+    data.loc[5, "v"] = None
+    x = from_pandas(spark, data).group_by("g")
+
+    def two(p):
+        return p.sort_values(["v", "i"]).head(2)
+
+    def fn(p):
+        return {"i": two(p)["i"].to_numpy(), "few": len(p) < 300}
+
+    schema = "i bigint, few boolean"
+    try:
+        got, whole = sorted(values(x.reframe(fn, schema, partial=two))), sorted(values(x.reframe(fn, schema)))
+        with pytest.raises(Exception, match="with their index"):
+            x.reframe(fn, schema, partial=lambda p: two(p).set_axis([-1, -2])).collect()
+        alone = x.ungroup().reframe(fn, schema, partial=two)
+        assert sorted(values(alone, "i")) == sorted(data.sort_values("v")["i"].head(2))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r[:2] for r in got] == [r[:2] for r in whole] and len(got) == 4
+    assert all(r[2] for r in got) and not any(r[2] for r in whole)
+
+
+def test_reframe_keeps_row_order(t):
+    """In row order, descending with missing values first; fn sees no hidden column."""
+    x = t(g=["a"] * 4 + ["b"], k=[2, None, 1, 3, 0], s=["x", "y", "z", "w", "v"]).arrange(desc("k")).group_by("g")
+    got = x.reframe(lambda p: {"all": ["".join(p["s"])], "cols": [",".join(p.columns)]}, "all string, cols string")
+    assert sorted(values(got)) == [("a", "ywxz", "g,k,s"), ("b", "v", "g,k,s")]
